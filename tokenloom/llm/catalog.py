@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules
+from . import chat_format, packing, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op3_sharding": sharding.query,
+    "op4_token_counts": token_counts.query,
     "op5_chat_format": chat_format.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_packing": packing.query,
 }
 SQL = {
     "op5_chat_format": chat_format.SQL,
