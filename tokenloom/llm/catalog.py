@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, sharding, token_counts
+from . import chat_format, decontaminate, packing, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
+    "op2_toxicity": toxicity.query,
     "op3_sharding": sharding.query,
     "op4_token_counts": token_counts.query,
     "op5_chat_format": chat_format.query,
