@@ -102,10 +102,9 @@ def shingle_sets(words: np.ndarray, begin: np.ndarray, width: int = 5) -> tuple[
         if b - a >= width:
             s = np.unique(h[a : b - width + 1])
         elif b > a:
-            x = np.uint64(b - a)
-            for w in words[a:b]:
-                x = mix(np.array([x * np.uint64(31) + w], np.uint64))[0]
-            s = np.array([x], np.uint64)
+            s = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                s = mix(s * np.uint64(31) + words[k : k + 1])
         else:
             s = h[:0]
         parts.append(s)
