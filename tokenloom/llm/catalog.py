@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dup, packing, quality_rules, sharding, token_counts, toxicity
+from . import chat_format, decontaminate, line_dedup, near_dup, packing, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dup": near_dup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_packing": packing.query,
+    "op10_line_dedup": line_dedup.query,
 }
 SQL = {
     "op5_chat_format": chat_format.SQL,
