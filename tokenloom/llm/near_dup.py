@@ -70,7 +70,7 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def profile(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, signature) of every row: s1 and s2 identify the set."""
+    """(doc_id, n_shingles, s1, s2, signature, sketch) of every row: s1 and s2 identify the set, the sketch has one byte of each value."""
 
     def run(batches):
         import pyarrow as pa
@@ -78,6 +78,7 @@ def profile(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
         for b in batches:
             n, s1, s2 = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             sig: list[bytes | None] = [None] * b.num_rows
+            sketch: list[bytes | None] = [None] * b.num_rows
             for i, s, at in _sets(b.column(1)):
                 size = np.diff(at)
                 full = np.flatnonzero(size)
@@ -88,10 +89,12 @@ def profile(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
                     s2[i + full] = np.add.reduceat(mix(s ^ np.uint64(0x5851F42D4C957F2D)), begins).view(np.int64)
                     for k, v in zip(full, signatures(s, np.append(begins, len(s))).astype(">u2")):
                         sig[i + k] = v.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "signature"])
+                        sketch[i + k] = v.astype(np.uint8).tobytes()
+            cols = [b.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "s1", "s2", "signature", "sketch"])
 
     kind = df.schema[doc].dataType.simpleString()
-    return df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, signature binary")
+    return df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, signature binary, sketch binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -99,20 +102,15 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     Pairs are grouped under ``a`` in parts of about 256; each part gets the text
     of ``a`` once and streams the others past it, so no group is held in memory
-    and a document with very many pairs is spread over tasks.
+    and a document with very many pairs is spread over tasks.  The requests for
+    texts grow with the corpus, so they are never broadcast.
     """
     parts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / 256) + 1).alias("parts"))
-    right = (
-        pairs.join(parts, "a")
-        .withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-        .join(texts.select(F.col("rep").alias("b"), "text"), "b")
-        .select("a", "part", "b", "text")
-    )
-    left = (
-        parts.join(texts.select(F.col("rep").alias("a"), "text"), "a")
-        .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
-    )
-    both = left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    right = pairs.join(parts, "a").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    none = F.lit(None).cast("long").alias("b")
+    left = parts.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), none)
+    asked = texts.join(left.union(right).hint("merge"), "rep").select("a", "part", "b", "text")
+    both = asked.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         import pyarrow as pa
@@ -147,8 +145,8 @@ def agreeing(pairs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, VALUES)
-            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, VALUES)
+            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, VALUES)
+            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -159,7 +157,7 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     p = cut(profile(df, doc, text))
     key = ["n_shingles", "s1", "s2"]
     full = p.filter("n_shingles > 0")
-    reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     linked = links(reps, df.select(F.col(doc).alias("rep"), F.col(text).alias("text")))
     found = reps.join(components(linked).select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     return full.select("doc_id", *key).join(found, key).select("doc_id", "n_shingles", "component_id").union(p.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -167,36 +165,39 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
 
 def links(reps: DataFrame, source: DataFrame) -> DataFrame:
     """Confirmed pairs (a, b) of representatives that give the components of the threshold's graph."""
-    f = cut(reps.filter("rep is not null").select(F.col("rep").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "signature"))
+    f = cut(reps.filter("rep is not null").select(F.col("rep").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "signature", "sketch"))
     depth = 2 * DEPTH
     tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * depth + 1, F.lit(depth)).alias("label"))))
     rows = f.select("rep", "n", tree.alias("x")).select("rep", "n", "x.tree", F.substring("x.label", 1, 2 * LEAST).alias("prefix"), F.substring("x.label", 2 * LEAST + 1, 2 * DEPTH).alias("rest"))
-    shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
+    me = F.struct("rep", "n")
+    shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min(me).alias("first")).filter("size > 1")
     members = cut(rows.join(shared, ["tree", "prefix"]))
-    first = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    parts = [first]
+    texts = cut(source.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi"))
+
+    def pair(df: DataFrame, head: str) -> DataFrame:
+        p = df.select(F.col(f"{head}.rep").alias("a"), F.col("rep").alias("b"), F.col(f"{head}.n").alias("na"), F.col("n").alias("nb"))
+        return p.filter("a <> b").filter(100 * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")).select("a", "b")
+
+    candidates = pair(members, "first")
     for d in range(1, DEPTH - LEAST + 1):  # adaptive depth: the first document of every deeper region that is shared
         deep = members.filter("size > 2").withColumn("deeper", F.substring("rest", 1, 2 * d))
-        heads = deep.groupBy("tree", "prefix", "deeper").agg(F.min("rep").alias("head"))
-        parts.append(deep.join(heads, ["tree", "prefix", "deeper"]).filter("rep <> head and head <> first").select(F.col("head").alias("a"), F.col("rep").alias("b")))
-    candidates = parts[0]
-    for x in parts[1:]:
-        candidates = candidates.union(x)
-    sig = f.select("rep", "n", "signature")
+        heads = deep.groupBy("tree", "prefix", "deeper").agg(F.min(me).alias("head"))
+        candidates = candidates.union(pair(deep.join(heads, ["tree", "prefix", "deeper"]), "head"))
+    candidates = cut(candidates.distinct())
+    sketch = f.select("rep", "sketch")
 
     def close(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and MinHash values don't rule out."""
-        s = pairs.join(sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
-        return agreeing(s.filter(100 * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")))
+        """Pairs that the MinHash values don't rule out."""
+        return agreeing(pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b"))
 
-    one = cut(confirm(cut(close(candidates.distinct())), source))
+    one = cut(confirm(cut(close(candidates)), texts))
     labels = components(one)
     m = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("tree", "prefix", "rep", "n", F.coalesce("label", "rep").alias("label"))
     open_ = m.groupBy("tree", "prefix").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tree", "prefix")
     m = cut(m.join(open_, ["tree", "prefix"]))
     x, y = m.select("tree", "prefix", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), m.select("tree", "prefix", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = x.join(y, ["tree", "prefix"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")))
-    two = confirm(cut(close(rest.select("a", "b").distinct().join(candidates.distinct(), ["a", "b"], "left_anti"))), source)
+    two = confirm(cut(close(rest.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"))), texts)
     return one.union(two)
 
 
