@@ -264,7 +264,7 @@ def main_texts(pages: list[str], net: Labeller) -> list[str]:
 def extract(df: DataFrame, html: str = "html", out: str = "text", net: Labeller | None = None, at_once: int = 512) -> DataFrame:
     """``df`` with the column ``out``: the main text of each page."""
     known = df.sparkSession.sparkContext.broadcast(net or trained())  # a few thousand numbers
-    at = df.columns.index(html)
+    columns, at = df.columns, df.columns.index(html)
 
     def run(batches):
         import pyarrow as pa
@@ -273,8 +273,8 @@ def extract(df: DataFrame, html: str = "html", out: str = "text", net: Labeller
             for i in range(0, b.num_rows, at_once):
                 part = b.slice(i, at_once)
                 texts = main_texts([x.as_py() or "" for x in part.column(at)], known.value)
-                cols = [c for c, n in zip(part.columns, df.columns) if n != out] + [pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[n for n in df.columns if n != out] + [out])
+                cols = [c for c, n in zip(part.columns, columns) if n != out] + [pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=[n for n in columns if n != out] + [out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f"{', ' if len(df.columns) > (out in df.columns) else ''}`{out}` string"
     return df.mapInArrow(run, schema)
