@@ -94,7 +94,8 @@ def judge(df: DataFrame, text: str = "text", out: str = "quality", *, min_words:
         c["n"].alias("n_words"), c["c"].alias("word_chars"), c["s"].alias("n_symbols"), c["d"].alias("n_dup_lines"), c["r"].alias("n_repeat_words"),
         bad.alias("base_failed"), (~bad & ~lost).alias("kept"), c["x"].alias("lost_chars"), c["t"].alias("clean_text"),
     )
-    return a.select(*[F.col(f"`{x}`") for x in df.columns if x != out], result.alias(out))
+    # The row number keeps the optimiser from copying the whole judgement into a filter on its outcome.
+    return a.select(*[F.col(f"`{x}`") for x in df.columns if x != out], F.when(F.monotonically_increasing_id() >= 0, result).alias(out))
 
 
 def clean(df: DataFrame, text: str = "text", **limits: int) -> DataFrame:
