@@ -109,13 +109,22 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
-    """Fillings {length: copies} with whole numbers of sequences that hold exactly the histogram."""
+    """Fillings {length: copies} with whole numbers of sequences that hold exactly the histogram.
+
+    The rounded program, or best fit alone where that takes fewer sequences, as
+    it can with few pieces.
+    """
+    columns = solve({n: k for n, k in histogram.items() if k > 0}, capacity, rounds)
+    return min((_rounded(histogram, capacity, c) for c in (columns, [])), key=lambda groups: sum(k for _, k in groups))
+
+
+def _rounded(histogram: dict[int, int], capacity: int, columns: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     groups: list[tuple[dict[int, int], int]] = []
     if capacity in left:
         groups.append(({capacity: 1}, left.pop(capacity)))
     open_: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
-    for column, x in solve(left, capacity, rounds):
+    for column, x in columns:
         k = min([int(x), *(left.get(n, 0) // a for n, a in column.items())])
         if k > 0:
             for n, a in column.items():
