@@ -71,7 +71,7 @@ def test_tables(spark):
     t = Z.TRIE.tables(spark)["vocab"]
     assert tables.trie_states(Vocabulary("Bpe", dict(he=0, she=1, his=2, hers=3)).tables(spark)["vocab"]).count() == 9
     got = tables.common_prefixes(spark.createDataFrame([("there",), ("",), (None,)], "word string"), t).collect()
-    assert sorted(r["length"] for r in got) == [2, 3, 5]
+    assert sorted(r["length"] for r in got) == [3, 5]
     fail = {r[0]: r[1:] for r in tables.fail_links(t).collect()}
     assert fail["she".encode().hex().upper()] == ("6865", "6865")
 
@@ -90,7 +90,7 @@ def test_sources(spark, tmp_path):
     assert texts.whole_files(spark, str(tmp_path)).first()["text"] == "one\r\ntwo\n"
     assert texts.synthetic(spark, 50).first()["text"] == (texts.PANGRAM * 2)[:50]
     raw = spark.createDataFrame([(b"ok",), (b"\xff",)], "raw binary")
-    assert texts.checked(raw.limit(1)).first()["text"] == "ok"
+    assert texts.checked(raw.filter("raw = cast('ok' as binary)")).first()["text"] == "ok"
     with pytest.raises(Exception, match="invalid UTF-8"):
         texts.checked(raw).collect()
 

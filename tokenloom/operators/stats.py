@@ -25,7 +25,7 @@ def pretoken_stats(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     sizes = F.transform(T.pretokens(F.col(text)), lambda p: F.octet_length(p).cast("long"))
     zero = F.lit(0).cast("long")
     per = df.select(*keys, F.size(sizes).cast("long").alias("n"), F.coalesce(F.array_max(sizes), zero).alias("m"), F.aggregate(sizes, zero, lambda a, x: a + x).alias("b"))
-    g = per.groupBy(*keys).agg(F.sum("n").alias("n_pretokens"), F.coalesce(F.max("m"), zero).alias("max_bytes"), F.sum("b").alias("total"))
+    g = per.groupBy(*keys).agg(F.coalesce(F.sum("n"), zero).alias("n_pretokens"), F.coalesce(F.max("m"), zero).alias("max_bytes"), F.sum("b").alias("total"))
     return g.select(*keys, "n_pretokens", "max_bytes", F.when(F.col("n_pretokens") == 0, 0.0).otherwise(F.col("total") / F.col("n_pretokens")).alias("avg_bytes"))
 
 
