@@ -71,7 +71,7 @@ def test_quality_repeats_by_brute_force(spark):
 
 
 def test_quality_lines(spark):
-    body = "\n".join(f"This is line {i} of a text and it ends well with some more words." for i in range(12))
+    body = "\n".join(" ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(12))
     bad = "Home | About | Contact | Login\n### $$$ %%%\nAll rights reserved.\nWOW!! BUY!! NOW!!"
     junk = "\n".join(["Home | News | Sport | Contact | Menu | More"] * 2 + [f"x{i} | y{i} | z{i}" for i in range(30)])
     df = spark.createDataFrame([(1, body + "\n" + bad), (2, junk)], "doc_id long, text string")
@@ -226,7 +226,7 @@ def test_components(spark):
 
 
 def brute_lines(rows):
-    occ = [((i is not None, i or 0, k), i, k, tuple(WORD.findall(x))) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
+    occ = [((i, k), i, k, tuple(WORD.findall(x))) for i, t in rows if t is not None and i is not None for k, x in enumerate(t.split("\n"))]
     occ = [o for o in occ if len(o[3]) >= line_dedup.MIN_WORDS]
     first = {}
     for o in sorted(occ, key=lambda o: o[0]):
@@ -234,7 +234,7 @@ def brute_lines(rows):
     drop = {}
     for at, i, k, w in occ:
         near = len(w) >= line_dedup.NEAR_WORDS and any(len(x) >= line_dedup.NEAR_WORDS and a < first[w] and x != w and line_dedup.within_one(list(x), list(w)) for x, a in first.items())
-        if i is not None and (near or first[w] != at):
+        if near or first[w] != at:
             drop.setdefault(i, set()).add(k)
     return drop
 

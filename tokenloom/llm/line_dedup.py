@@ -19,8 +19,8 @@ one place, or a deletion equal to a whole line, mean one edit, which is verified
 on the words.  Both grains only use minima by hash, so no pairs of a group are made.
 
 Defined results: null texts stay null and have no lines, an empty text has one
-empty line; rows without an id keep all their lines and come before all ids;
-repeated rows of one id lose the same lines; an empty table gives no rows;
+empty line; rows without an id have no place in the order, so they keep all their lines and
+cost no other row any; repeated rows of one id lose the same lines; an empty table gives no rows;
 other columns are kept as they are.
 """
 
@@ -212,7 +212,7 @@ def near(df: DataFrame, first: DataFrame) -> DataFrame:
     c = sharing(df).join(first, "h")
     by_doc = c.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.line", "h")).alias("wanted"))
     lines = (
-        df.filter("doc_id is not null").join(by_doc, "doc_id")
+        df.join(by_doc, "doc_id")
         .select("doc_id", F.split("text", "\n").alias("l"), F.explode("wanted").alias("w"))
         .select(F.col("w.h").alias("h"), F.struct("doc_id", "w.line").alias("at"), F.get("l", F.col("w.line")).alias("text"))
     )
@@ -265,14 +265,14 @@ def within_one(x: list[str], y: list[str]) -> bool:
 
 def dropped(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lines array<int>): the lines that each document loses, if any."""
-    d = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    d = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     occ = cut(occurrences(d))
     all_ = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("count"), F.first("n").alias("n"))
     first = cut(all_)
     gone = near(d, first.filter(F.col("n") >= NEAR_WORDS).select("h", "at")).withColumn("near", F.lit(True))
     touched = first.filter("count > 1").select("h", "at").join(gone, "h", "full_outer")
     lost = occ.join(touched, "h").filter(F.col("near") | (F.struct("doc_id", "line") != F.col("at")))
-    return lost.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
