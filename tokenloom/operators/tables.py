@@ -84,3 +84,27 @@ def fail_links(vocab: DataFrame) -> DataFrame:
         F.max_by("suffix", F.length("suffix")).alias("fail"), F.max_by(F.when(F.col("is_token"), F.col("suffix")), F.when(F.col("is_token"), F.length("suffix"))).alias("fail_pop")
     )
     return states.select("state").join(best, "state", "left").select("state", F.coalesce("fail", F.lit("")).alias("fail"), F.coalesce("fail_pop", F.lit("")).alias("fail_pop"))
+
+
+def path_exists(texts: DataFrame, vocab: DataFrame, text: str = "word") -> DataFrame:
+    """``texts`` that are the beginning, in bytes, of some token: a semi join with the trie's states."""
+    states = trie_states(vocab).select(F.col("state").alias("_tl_state"))
+    return texts.join(states, F.hex(F.encode(F.col(text), "utf-8")) == states["_tl_state"], "left_semi")
+
+
+def transitions(steps: DataFrame, vocab: DataFrame, release: bool = False) -> DataFrame:
+    """``steps`` (state, byte) with ``next``: the state one byte on, or none; with ``release`` the failure state of a state without that byte, the root's being the root."""
+    edges = trie_edges(vocab).select(F.col("parent").alias("state"), "byte", F.col("state").alias("next"))
+    j = steps.join(edges, ["state", "byte"], "left")
+    if not release:
+        return j
+    fail = fail_links(vocab).select("state", "fail")
+    return j.join(fail, "state", "left").withColumn("next", F.coalesce("next", "fail", F.lit(""))).drop("fail")
+
+
+def trie_annotations(v: Vocabulary, spark: SparkSession) -> DataFrame:
+    """(token, token_id, annotation): the rank of the last rule that makes a token (BPE), or its score (Unigram)."""
+    t = v.tables(spark)
+    made = t["merges"].groupBy(F.concat("left", "right").alias("token")).agg(F.max("rank").cast("double").alias("annotation"))
+    scored = t["scores"].groupBy("token").agg(F.max_by("score", "ord").cast("double").alias("annotation"))
+    return t["vocab"].join(made if v.algo == "Bpe" else scored, "token", "left")

@@ -217,6 +217,50 @@ def _(spark, sf):
     return tables.fail_links(vocab(spark, Z.TRIE))
 
 
+@query("trie_size", f"WITH {_STATES} SELECT count(*) + 1 AS n_states, count(token_id) AS n_tokens FROM t")
+def _(spark, sf):
+    return tables.trie_states(vocab(spark, Z.TRIE)).agg((F.count(F.lit(1)) + 1).alias("n_states"), F.count("token_id").alias("n_tokens"))
+
+
+@query("path_exists", f"WITH {_STATES}, w AS ({_words_of()}) SELECT word FROM w WHERE hex(encode(word)) IN (SELECT state FROM s)")
+def _(spark, sf):
+    return tables.path_exists(docs(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word")).distinct(), vocab(spark, Z.TRIE))
+
+
+_STEP = f"""WITH {_STATES}, x AS (SELECT state, substr(state, 2 * k + 1) AS suffix FROM (SELECT state, unnest(range(1, length(state) // 2)) AS k FROM s)),
+    f AS (SELECT x.state, arg_max(suffix, length(suffix)) AS fail FROM x JOIN s ON s.state = suffix GROUP BY x.state),
+    p AS (SELECT state, b FROM (SELECT '' AS state UNION ALL SELECT state FROM s) CROSS JOIN (VALUES (101), (104), (110), (0)) v(b))"""
+
+
+def _steps(spark):
+    states = tables.trie_states(vocab(spark, Z.TRIE)).select("state").union(spark.createDataFrame([("",)], "state string"))
+    return states.select("state", F.explode(F.array(*[F.lit(b).cast("long") for b in (101, 104, 110, 0)])).alias("byte"))
+
+
+@query("transitions", _STEP + " SELECT p.state, CAST(b AS BIGINT) AS byte, coalesce(s.state, 'none') AS next FROM p LEFT JOIN s ON s.state = p.state || printf('%02X', b)")
+def _(spark, sf):
+    return tables.transitions(_steps(spark), vocab(spark, Z.TRIE)).select("state", "byte", F.coalesce("next", F.lit("none")).alias("next"))
+
+
+@query("transitions_release", _STEP + " SELECT p.state, CAST(b AS BIGINT) AS byte, coalesce(s.state, fail, '') AS next FROM p LEFT JOIN s ON s.state = p.state || printf('%02X', b) LEFT JOIN f ON f.state = p.state")
+def _(spark, sf):
+    return tables.transitions(_steps(spark), vocab(spark, Z.TRIE), release=True).select("state", "byte", "next")
+
+
+@query("trie_annotations", f"SELECT 'Bpe' AS algo, token, CAST(token_id AS BIGINT) AS token_id, CAST(coalesce(rank, -100) AS DOUBLE) AS annotation FROM {Z.vocab_sql(Z.BPE)} LEFT JOIN (SELECT l || r AS token, max(rank) AS rank FROM {Z.values([(r, a, b) for r, (a, b) in enumerate(Z.MERGES)], 'rank, l, r')} GROUP BY 1) USING (token) UNION ALL SELECT 'Unigram', token, CAST(token_id AS BIGINT), CAST(coalesce(score, -100) AS DOUBLE) FROM {Z.vocab_sql(Z.UNIGRAM)} LEFT JOIN {Z.values(Z.UNIGRAM.scores, 'token, score')} USING (token)")
+def _(spark, sf):
+    parts = [tables.trie_annotations(v, spark).select(F.lit(v.algo).alias("algo"), "token", "token_id", F.coalesce("annotation", F.lit(-100.0)).alias("annotation")) for v in (Z.BPE, Z.UNIGRAM)]
+    return parts[0].union(parts[1])
+
+
+@query("engine_pre", f"SELECT item_id, CAST(len(regexp_extract_all(text, '{T.PRE}')) AS BIGINT) AS n FROM benchmark")
+def _(spark, sf):
+    """Pretokens counted over chunks that end behind blanks, so that no chunk cuts one."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text", F.explode(udfs.blank_chunks(4)(F.col("text"))).alias("s"))
+    part = F.encode("text", "utf-8").substr(F.col("s.start_byte") + 1, F.col("s.end_byte") - F.col("s.start_byte")).cast("string")
+    return b.select("item_id", F.size(T.pretokens(part)).cast("long").alias("n")).groupBy("item_id").agg(F.sum("n").alias("n"))
+
+
 # Encoders
 
 _MARK = "regexp_replace({}, '(?s)(.)', chr(1) || '\\1' || chr(2), 'g')"
