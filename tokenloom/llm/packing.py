@@ -180,14 +180,18 @@ def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
     kind = df.schema[doc].dataType.simpleString()
 
     def look(batches):
+        import pyarrow as pa
+
         t = known.value
         for b in batches:
-            key = b["length"].to_numpy() * (1 << 44) + b["rank"].to_numpy()
-            row = t[np.searchsorted(t[:, 0] * (1 << 44) + t[:, 1], key, "right") - 1] if len(b) else t[:0]
-            q = b["rank"].to_numpy() - row[:, 1]
-            yield b.drop(columns="rank").assign(sequence_id=row[:, 3] + q // np.maximum(row[:, 2], 1), offset=row[:, 4] + q % np.maximum(row[:, 2], 1) * b["length"].to_numpy())
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(look, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            row = t[np.searchsorted(t[:, 0] * (1 << 44) + t[:, 1], length * (1 << 44) + rank, "right") - 1] if len(length) else t[:0]
+            q = rank - row[:, 1]
+            copies = np.maximum(row[:, 2], 1)
+            cols = [*b.columns[:5], pa.array(row[:, 3] + q // copies), pa.array(row[:, 4] + q % copies * length)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(look, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def sequences(df: DataFrame, packed: DataFrame, doc: str = "doc_id", text: str = "text", vocab: tuple[str, str] | None = None) -> DataFrame:
