@@ -109,11 +109,13 @@ def fit(rows: list[tuple[str, int, float]], epochs: int = 60, rate: float = 0.1,
     if not n:
         return Model(weights.astype(np.float32), -6.0)
     f, inst, bag = np.concatenate(feats), np.concatenate(instance), np.array(bag)
+    del feats, instance, cache
     seen = np.unique(f.astype(np.int64) * len(rows) + bag[inst]) // len(rows)
     often = np.bincount(seen, minlength=1 << BITS) >= MIN_DOCUMENTS
     keep = often[f]
     names, f = np.unique(f[keep], return_inverse=True)
-    inst = inst[keep]
+    f, inst = f.astype(np.int32), inst[keep]
+    del seen, keep
     y = np.array([int(r[1] > 0) for r in rows])
     row_weight = np.array([r[2] for r in rows])
     row_weight = row_weight / row_weight.mean()
@@ -121,6 +123,7 @@ def fit(rows: list[tuple[str, int, float]], epochs: int = 60, rate: float = 0.1,
     pairs = np.unique(f.astype(np.int64) * len(rows) + bag[inst])
     share = lambda k: (np.bincount(pairs // len(rows), (y == k)[pairs % len(rows)], minlength=len(names)) + 0.5) / ((y == k).sum() + 1)
     unit = np.log(share(1) / share(0))
+    del pairs
     v, b = np.full(len(names), 0.5), -10.0
     m1, m2, bm1, bm2 = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(1, epochs + 1):
