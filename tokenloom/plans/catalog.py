@@ -436,6 +436,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Every conversation as one stream, its turns as the chunks."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("conv_id AS stream_id", "turn AS seq", "text")
+    return streaming.encode_whole(c, Z.BPE).select("stream_id", E.joined().alias("ids"), F.size("ids").cast("long").alias("n_tokens"))
+
+
+@query("stream_encode_rows", SQL["stream_encode"])
+def _(spark, sf):
+    """The same, chunk by chunk through the operator that micro-batches use."""
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     s = streaming.encode_stream(streaming.from_texts(c, "conv_id", "turn", "text"), Z.BPE)
     g = s.groupBy("stream_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"])).alias("ids"))

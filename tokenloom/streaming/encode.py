@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..ir import Vocabulary
 from ..kernels import StreamEncoder
+from ..operators.encode import encode
 
 
 def encode_stream(df: DataFrame, v: Vocabulary) -> DataFrame:
@@ -52,6 +53,16 @@ def encode_stream(df: DataFrame, v: Vocabulary) -> DataFrame:
     return df.groupBy("stream_id").applyInPandasWithState(run, schema, "pending binary, last long", "append", "NoTimeout")
 
 
+def encode_whole(df: DataFrame, v: Vocabulary) -> DataFrame:
+    """(stream_id, ids) of a batch of text chunks (stream_id, seq, text): as if each stream were fed and finished.
+
+    A stream's chunks become one text, so it must fit a row.
+    """
+    chunks = F.sort_array(F.collect_list(F.struct("seq", "text")))
+    g = df.groupBy("stream_id").agg(F.array_join(F.transform(chunks, lambda x: x["text"]), "").alias("text"))
+    return encode(g, v, mode="stream").select("stream_id", "ids")
+
+
 def from_texts(df: DataFrame, stream: str, seq: str, text: str) -> DataFrame:
     """Rows of texts as chunks of streams; the last row of a stream ends it (a batch only)."""
     last = df.groupBy(stream).agg(F.max(seq).alias("_last"))
