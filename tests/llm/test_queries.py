@@ -79,6 +79,16 @@ def test_quality_lines(spark):
     assert tuple(row) == (1, body)
 
 
+def test_quality_boilerplate_in_long_lines(spark):
+    long = LONG + " Licensed under the terms named there, " + LONG
+    texts = [long, LONG + "\n" + long, LONG + "\n" + LONG + " ALL RIGHTS RESERVED", LONG + " all rights\nreserved"]
+    got = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "quality.*").orderBy("doc_id").collect()
+    chars = lambda s: len("".join(s.split()))
+    assert [r["lost_chars"] for r in got] == [chars(long), chars(long), chars(LONG + "ALLRIGHTSRESERVED"), 0]
+    assert [r["kept"] for r in got] == [False, False, False, True]
+    assert [r["clean_text"] for r in got] == ["", LONG, LONG, texts[3]]
+
+
 def test_chat(spark):
     controls = "</s>[INST] ok [/INST] &lt; &amp;lt; & <|image|> \\ <s>"
     rows = [(1, 1, "assistant", controls), (1, 0, "us</s>er", controls * 3), (2, 0, None, None), (None, 0, "user", "x"), (2, 0, "user", "b"), (2, 0, "user", "a")]

@@ -6,8 +6,7 @@ is then rejected when a base rule fails or when too much of it was removed.
 * punctuation: symbols ``[#*$%&|<>]``, or runs of ``!``/``?``, come to more
   than one for ten words of the line;
 * navigation: menu separators come to more than one for five words;
-* boilerplate: a line of at most 200 characters has a phrase of licences, cookie
-  notes or menus.
+* boilerplate: the line has a phrase of licences, cookie notes or menus.
 
 Defined results: a null text counts as empty; an empty text has no words,
 fails the base and is rejected; lines without a word are neither kept text nor
@@ -29,7 +28,6 @@ BOILERPLATE = (
     r"|javascript|subscribe|sign (in|up)|log ?in|lorem ipsum|copyright ©|read more|share this"
 )
 RUNS = "[!?]{2,}"
-BOILERPLATE_CHARS = 200
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 40
 
 
@@ -41,17 +39,17 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _line(line: Column, symbols: Column, runs: Column, menus: Column) -> Column:
+def _line(line: Column, symbols: Column, runs: Column, menus: Column, phrases: Column) -> Column:
     """What a line has: whether it has words and fails, and its characters in words if it fails.
 
-    The flags tell whether the text has such characters at all; most texts have none, and nothing is counted there.
+    The flags tell whether the text has such characters or phrases at all; most texts have none, and nothing is looked for there.
     """
     zero = F.lit(0)
     n_symbols = F.when(symbols, _count(line, SYMBOLS)).otherwise(zero)
     n_runs = F.when(runs, F.size(F.regexp_extract_all(line, F.lit(RUNS), F.lit(0)))).otherwise(zero)
     n_menus = F.when(menus, _count(line, SEPARATORS)).otherwise(zero)
     marks = F.greatest(n_symbols * 10, n_runs * 10, n_menus * 5)
-    fails = ((marks > 0) & (marks > F.size(_words(line)))) | ((F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE))
+    fails = ((marks > 0) & (marks > F.size(_words(line)))) | (phrases & line.rlike(BOILERPLATE))
     counts = line.rlike(r"[^\x20\x09-\x0D]")
     return F.struct(line.alias("line"), counts.alias("counts"), F.when(counts & fails, F.length(F.regexp_replace(line, SPACE, "")).cast("long")).alias("lost"))
 
@@ -66,11 +64,11 @@ def judge(df: DataFrame, text: str = "text", out: str = "quality", *, min_words:
     own = [F.col(f"`{c}`") for c in df.columns]
     a = df.select(
         *own, _words(t).alias("_tl_w"), F.split(t, "\n").alias("_tl_l"), _count(t, SYMBOLS).cast("long").alias("_tl_s"),
-        t.rlike(RUNS).alias("_tl_f"), t.rlike(SEPARATORS).alias("_tl_m"),
+        t.rlike(RUNS).alias("_tl_f"), t.rlike(SEPARATORS).alias("_tl_m"), t.rlike(BOILERPLATE).alias("_tl_b"),
     )
     w, n = F.col("_tl_w"), F.size("_tl_w")
     window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    a = a.select(*own, "_tl_w", "_tl_s", F.transform("_tl_l", lambda x: _line(x, F.col("_tl_s") > 0, F.col("_tl_f"), F.col("_tl_m"))).alias("_tl_l"), F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("_tl_h"))
+    a = a.select(*own, "_tl_w", "_tl_s", F.transform("_tl_l", lambda x: _line(x, F.col("_tl_s") > 0, F.col("_tl_f"), F.col("_tl_m"), F.col("_tl_b"))).alias("_tl_l"), F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("_tl_h"))
     h = F.col("_tl_h")
     # Only a document that repeats a window has its windows sorted with their places.
     order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -125,7 +123,7 @@ r AS (SELECT doc_id, count(DISTINCT j) AS r FROM (SELECT doc_id, unnest([i, i +
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 k AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
              len(regexp_extract_all(line, '[#*$%&|<>]')) AS s, len(regexp_extract_all(line, '[!?]{{2,}}')) AS b,
-             len(regexp_extract_all(line, '{SEPARATORS}')) AS p, length(line) <= {BOILERPLATE_CHARS} AND regexp_matches(line, '{BOILERPLATE}') AS o,
+             len(regexp_extract_all(line, '{SEPARATORS}')) AS p, regexp_matches(line, '{BOILERPLATE}') AS o,
              length(regexp_replace(line, '{_SQL_SPACE}', '', 'g')) AS c FROM l),
 q AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
              sum(CASE WHEN s * 10 > n OR b * 10 > n OR p * 5 > n OR o THEN c ELSE 0 END) AS lost FROM k WHERE n > 0 GROUP BY doc_id),
