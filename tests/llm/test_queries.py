@@ -214,6 +214,21 @@ def test_near_duplicates(spark, docs, none):
     assert near_dup.dedup(docs).columns == docs.columns
 
 
+def test_near_duplicates_at_the_threshold_of_the_stage(spark):
+    rows = []
+    for m in [44, 45, 45, 45, 46, 48, 50, 53, 56, 59, 61, 62]:  # shingles; one word replaced in the middle leaves (m - 5) / (m + 5)
+        w = [f"g{len(rows)}w{k}" for k in range(m + 4)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:20], "other", *w[21:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, got in ((80, near_dup.stage(spark, df, "")), (85, near_dup.dedup(df))):
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, _, c in brute_components(rows, num) if i == c)
+    assert near_dup.stage(spark, df, "").count() == 13 and near_dup.dedup(df).count() == 23
+    for num in (50, 80, 85, 95):
+        f = near_dup.forest((num, 100))
+        assert (1 - (num / 100) ** near_dup.LEAST) ** f.trees <= near_dup.MISS_TREES and f.values == f.trees * near_dup.DEPTH and f.agree < num * f.values / 100
+    assert near_dup.forest((1, 1)).agree == near_dup.DEPTH
+
+
 def test_components(spark):
     import random
 

@@ -3,7 +3,8 @@
 1. Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lowered; a document's set is its
    distinct five-word shingles (64-bit hashes).  Equal sets form one class, and
    only one representative of each class goes on.
-2. A representative has ``TREES`` labels of ``DEPTH`` MinHash values.  In each
+2. A representative has labels of ``DEPTH`` MinHash values, one for each tree
+   (16 trees at a threshold of 0.85, 22 at 0.80).  In each
    tree's sorted order a region is a run with a common prefix of ``LEAST``
    values.  Within a region the depth adapts: every deeper prefix that is still
    shared makes a region of its own.  Candidates of the first round are a
@@ -17,8 +18,9 @@
    for a pair at the threshold, the chance to fall below is under 1e-7.
 5. Components of documents follow from those of representatives.
 
-A pair at the threshold of 0.85 shares a region in one tree at least with
-probability 1 - (1 - 0.85^4)^16 > 0.99999.
+The trees are as many as it takes for a pair at the threshold t to share a region in
+one of them at least with probability 1 - (1 - t^4)^trees > 0.99999.  The query
+has a threshold of 0.85; the stage of the pipeline, 0.80.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; fewer than five words are one shingle; repeated rows are each a row of the result; ids are expected to be unique, equal ids make no failure but are one node of the graph; a row with a null id joins the
@@ -28,6 +30,9 @@ an empty table gives no rows; other columns are ignored (``dedup`` keeps them).
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +42,40 @@ from .shared import cut, documents
 from .wordhash import mix, shingle_sets, slices, text_buffers, word_hashes
 
 WORDS = 5
-THRESHOLD = (85, 100)
-TREES, DEPTH, LEAST = 16, 8, 4
-VALUES = TREES * DEPTH
-AGREE = 86  # of 128; 0.85 * 128 = 108.8, deviation 4.04
+THRESHOLD, STAGE_THRESHOLD = (85, 100), (80, 100)
+DEPTH, LEAST = 8, 4
+MISS_TREES, MISS_AGREE = 1e-5, 1e-7
+
+
+@dataclass(frozen=True)
+class Forest:
+    """The sizes that a threshold needs: trees, MinHash values, and how many of these must agree."""
+
+    threshold: tuple[int, int]
+    trees: int
+    values: int
+    agree: int
+
+
+def forest(threshold: tuple[int, int]) -> Forest:
+    t = threshold[0] / threshold[1]
+    if not 0 < t <= 1:
+        raise ValueError(f"a threshold must be above 0 and at most 1, not {threshold[0]}/{threshold[1]}")
+    if t == 1:
+        return Forest(threshold, 1, DEPTH, DEPTH)
+    trees = math.ceil(math.log(MISS_TREES) / math.log1p(-(t**LEAST)))
+    values, below = trees * DEPTH, 0.0
+    for agree in range(values):  # the binomial by logarithms; its coefficients can exceed a float
+        ways = math.lgamma(values + 1) - math.lgamma(agree + 1) - math.lgamma(values - agree + 1)
+        below += math.exp(ways + agree * math.log(t) + (values - agree) * math.log1p(-t))
+        if below >= MISS_AGREE:
+            break
+    return Forest(threshold, trees, values, agree)
+
 
-_rng = np.random.Generator(np.random.PCG64(97))
-_MULT = _rng.integers(1, 2**62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(values: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64(97))
+    return rng.integers(1, 2**62, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sets(column, lower: bool = True):
@@ -54,23 +86,24 @@ def _sets(column, lower: bool = True):
         yield i, s, at
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """uint16 MinHash values, one row of VALUES for each non-empty set."""
-    out = np.empty((len(at) - 1, VALUES), np.uint16)
+def signatures(sets: np.ndarray, at: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """uint16 MinHash values, one row for each non-empty set and a column for each multiplier."""
+    out = np.empty((len(at) - 1, len(multipliers)), np.uint16)
     step = 1 << 15
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + step, "right")) - 1)
         x = sets[at[i] : at[j]]
         begins = at[i:j] - at[i]
-        for k in range(VALUES):
-            out[i:j, k] = np.minimum.reduceat(x * _MULT[k], begins) >> np.uint64(24) & np.uint64(0xFFFF)
+        for k, m in enumerate(multipliers):
+            out[i:j, k] = np.minimum.reduceat(x * m, begins) >> np.uint64(24) & np.uint64(0xFFFF)
         i = j
     return out
 
 
-def profile(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def profile(df: DataFrame, doc: str = "doc_id", text: str = "text", values: int = forest(THRESHOLD).values) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, signature, sketch) of every row: s1 and s2 identify the set, the sketch has one byte of each value."""
+    multipliers = _multipliers(values)
 
     def run(batches):
         import pyarrow as pa
@@ -87,7 +120,7 @@ def profile(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
                     begins = at[:-1][full]
                     s1[i + full] = np.add.reduceat(mix(s), begins).view(np.int64)
                     s2[i + full] = np.add.reduceat(mix(s ^ np.uint64(0x5851F42D4C957F2D)), begins).view(np.int64)
-                    for k, v in zip(full, signatures(s, np.append(begins, len(s))).astype(">u2")):
+                    for k, v in zip(full, signatures(s, np.append(begins, len(s)), multipliers).astype(">u2")):
                         sig[i + k] = v.tobytes()
                         sketch[i + k] = v.astype(np.uint8).tobytes()
             cols = [b.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())]
@@ -97,7 +130,7 @@ def profile(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     return df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, signature binary, sketch binary")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
     Pairs are grouped under ``a`` in parts of about 256; each part gets the text
@@ -129,7 +162,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         continue
                     for y in own if at == (a[k], part[k]) else ():
                         both = np.intersect1d(x, y, True).size
-                        if both and THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both):
+                        if both and threshold[1] * both >= threshold[0] * (len(x) + len(y) - both):
                             out.append(k)
                             break
             if out:
@@ -138,36 +171,38 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def agreeing(pairs: DataFrame) -> DataFrame:
+def agreeing(pairs: DataFrame, sizes: Forest) -> DataFrame:
     """Pairs (a, b, sa, sb) of which enough MinHash values are equal."""
+    values, agree = sizes.values, sizes.agree
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, VALUES)
-            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE))
+            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, values)
+            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, values)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= agree))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def classes(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    p = cut(profile(df, doc, text))
+def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; the threshold is a fraction, (85, 100) say."""
+    p = cut(profile(df, doc, text, forest(threshold).values))
     key = ["n_shingles", "s1", "s2"]
     full = p.filter("n_shingles > 0")
     reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-    linked = links(reps, df.select(F.col(doc).alias("rep"), F.col(text).alias("text")))
+    linked = links(reps, df.select(F.col(doc).alias("rep"), F.col(text).alias("text")), threshold)
     found = reps.join(components(linked).select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     return full.select("doc_id", *key).join(found, key).select("doc_id", "n_shingles", "component_id").union(p.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def links(reps: DataFrame, source: DataFrame) -> DataFrame:
+def links(reps: DataFrame, source: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Confirmed pairs (a, b) of representatives that give the components of the threshold's graph."""
+    sizes = forest(threshold)
     f = cut(reps.filter("rep is not null").select(F.col("rep").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "signature", "sketch"))
     depth = 2 * DEPTH
-    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * depth + 1, F.lit(depth)).alias("label"))))
+    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(sizes.trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * depth + 1, F.lit(depth)).alias("label"))))
     rows = f.select("rep", "n", tree.alias("x")).select("rep", "n", "x.tree", F.substring("x.label", 1, 2 * LEAST).alias("prefix"), F.substring("x.label", 2 * LEAST + 1, 2 * DEPTH).alias("rest"))
     me = F.struct("rep", "n")
     shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min(me).alias("first")).filter("size > 1")
@@ -176,7 +211,7 @@ def links(reps: DataFrame, source: DataFrame) -> DataFrame:
 
     def pair(df: DataFrame, head: str) -> DataFrame:
         p = df.select(F.col(f"{head}.rep").alias("a"), F.col("rep").alias("b"), F.col(f"{head}.n").alias("na"), F.col("n").alias("nb"))
-        return p.filter("a <> b").filter(100 * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")).select("a", "b")
+        return p.filter("a <> b").filter(threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")).select("a", "b")
 
     candidates = pair(members, "first")
     for d in range(1, DEPTH - LEAST + 1):  # adaptive depth: the first document of every deeper region that is shared
@@ -188,28 +223,28 @@ def links(reps: DataFrame, source: DataFrame) -> DataFrame:
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that the MinHash values don't rule out."""
-        return agreeing(pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b"))
+        return agreeing(pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b"), sizes)
 
-    one = cut(confirm(cut(close(candidates)), texts))
+    one = cut(confirm(cut(close(candidates)), texts, threshold))
     labels = components(one)
     m = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("tree", "prefix", "rep", "n", F.coalesce("label", "rep").alias("label"))
     open_ = m.groupBy("tree", "prefix").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tree", "prefix")
     m = cut(m.join(open_, ["tree", "prefix"]))
     x, y = m.select("tree", "prefix", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), m.select("tree", "prefix", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = x.join(y, ["tree", "prefix"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")))
-    two = confirm(cut(close(rest.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"))), texts)
+    rest = x.join(y, ["tree", "prefix"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")))
+    two = confirm(cut(close(rest.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"))), texts, threshold)
     return one.union(two)
 
 
-def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One document of each component, with all its columns; rows without an id stay."""
-    c = classes(df, doc, text).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_tl_doc")).distinct()
+    c = classes(df, doc, text, threshold).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_tl_doc")).distinct()
     return df.join(c, df[doc] == c["_tl_doc"], "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup(docs)
+    return dedup(docs, threshold=STAGE_THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return classes(documents(spark, sf_dir), threshold=THRESHOLD).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
