@@ -165,6 +165,13 @@ def test_blocks():
     assert html_blocks.vectors([]).shape == (0, html_blocks.DIMS)
 
 
+def test_comments_that_look_like_labels():
+    page = "<p>one<!--====== header ======--> two<!--=1--> three</p><!--=--><p>four</p>"
+    assert html_blocks.blocks(page) == html_blocks.blocks(page.replace("=", "-"))
+    assert [(b.text, b.label) for b in html_blocks.blocks(page)] == [("one two three", None), ("four", None)]
+    assert [(b.text, b.label) for b in html_blocks.blocks("<!--=1--><p>a</p><!--=0--><p>b</p>", labels=True)] == [("a", 1), ("b", 0)]
+
+
 def test_labeller_gradients():
     r = np.random.default_rng(0)
     net = html_extract.Labeller(1, 5, 3)

@@ -48,8 +48,8 @@ def _element(tag: str, attributes: str) -> tuple:
     return tuple(words)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks with text of a page, in order."""
+def blocks(page: str, labels: bool = False) -> list[Block]:
+    """The leaf blocks with text of a page, in order; with ``labels``, comments ``=N`` are labels of a training page."""
     out: list[Block] = []
     stack: list[tuple] = []
     parts: list[str] = []
@@ -80,7 +80,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] is not None and m[1][:1] == "=":  # a label of a training page
+            if labels and m[1] is not None and m[1][:1] == "=":
                 flush()
                 label = int(m[1][1:])
             continue

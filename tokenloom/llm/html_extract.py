@@ -219,7 +219,7 @@ def training_set(pages: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     r = random.Random(seed)
     out = []
     for _ in range(pages):
-        found = [b for b in blocks(training_page(r)) if b.label is not None]
+        found = [b for b in blocks(training_page(r), labels=True) if b.label is not None]
         if found:
             out.append((vectors(found), np.array([b.label for b in found], np.float32)))
     return out
