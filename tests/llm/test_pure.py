@@ -74,7 +74,7 @@ def test_plan_holds_the_histogram():
     for _ in range(30):
         cap = R.choice([10, 64, 200])
         hist = {R.randint(1, cap): R.randint(1, 40) for _ in range(R.randint(0, 25))}
-        plan = packing.plan(hist, cap, 60)
+        plan = packing.plan(hist, cap)
         got = {}
         for filling, k in plan:
             assert k > 0 and sum(n * a for n, a in filling.items()) <= cap
@@ -88,7 +88,48 @@ def test_plan_holds_the_histogram():
                 room.append(cap - n)
             else:
                 room[i] -= n
-        assert sum(k for _, k in plan) <= len(room) * 1.03 + 1
+        assert sum(k for _, k in plan) <= len(room)
+        bound = packing.solve(hist, cap)[1] + hist.get(cap, 0)
+        assert sum(k for _, k in plan) >= bound - 1e-6
+
+
+def fewest(pieces, cap):
+    """The optimum, by trying every sequence for every piece."""
+    best = len(pieces)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(pieces):
+            best = len(room)
+            return
+        for i in range(len(room)):
+            if room[i] >= pieces[k] and room[i] not in room[:i]:
+                place(k + 1, [*room[:i], room[i] - pieces[k], *room[i + 1 :]])
+        place(k + 1, [*room, cap - pieces[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bound_and_plan_around_the_optimum():
+    for _ in range(25):
+        cap = R.choice([10, 24])
+        pieces = sorted((R.randint(1, cap) for _ in range(R.randint(1, 9))), reverse=True)
+        hist = {n: pieces.count(n) for n in pieces}
+        best = fewest(pieces, cap)
+        assert packing.solve(hist, cap)[1] + hist.get(cap, 0) <= best + 1e-6
+        assert best <= sum(k for _, k in packing.plan(hist, cap)) <= best + 1
+
+
+def test_plan_is_no_worse_than_its_parts():
+    hist = {int(n): 400 for n in np.random.default_rng(4).integers(20, 700, 60)}
+    columns, bound = packing.solve(hist, 1000)
+    used, alone = (sum(k for _, k in packing._rounded(hist, 1000, c)) for c in (columns, []))
+    plan = sum(k for _, k in packing.plan(hist, 1000))
+    assert bound <= plan <= min(used, alone)
+    assert sum(x * sum(n * a for n, a in c.items()) for c, x in columns) > 0.25 * sum(n * k for n, k in hist.items())
 
 
 def test_price_against_all_fillings():
@@ -103,6 +144,26 @@ def test_price_against_all_fillings():
         assert abs(sum(value[i] * a for i, a in got.items()) - best[20]) < 1e-9
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", "a", "="])
+def test_ids_of_very_long_runs(run):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(token_ids.vocabulary()[0])
+    text = "x" + run * 1_200_000 + "y" + run * 30_000 + "<|endoftext|>" + run * 20_000
+    assert token_ids.encoder(*token_ids.vocabulary()).ids(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_borders_of_long_runs(monkeypatch):
+    """The cuts around runs, at a limit so low that every run is cut out."""
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(token_ids.vocabulary()[0])
+    monkeypatch.setattr(token_ids, "LONG_RUN", 3)
+    enc = token_ids.encoder(*token_ids.vocabulary())
+    bits = ["a", "é", " ", "  ", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", "<|endoftext|>", "1", "!", "'s", " " * 5, "\n" * 5]
+    for _ in range(2000):
+        t = "".join(R.choice(bits) for _ in range(R.randint(0, 14)))
+        assert enc.ids(t).tolist() == own.encode(t, add_special_tokens=False).ids
+
+
 def test_ids_are_those_of_the_json_file():
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(token_ids.vocabulary()[0])

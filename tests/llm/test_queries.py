@@ -146,7 +146,7 @@ def test_packing(docs, none):
     from tokenloom.llm.token_ids import encoder, vocabulary
 
     enc = encoder(*vocabulary())
-    rows = packing.pack(docs, capacity=100, rounds=30).collect()
+    rows = packing.pack(docs, capacity=100).collect()
     where = Counter()
     for r in rows:
         for p in range(r["offset"], r["offset"] + r["length"]):
@@ -165,8 +165,8 @@ def test_packing(docs, none):
     assert sum(r["length"] for r in rows if r["doc_id"] == 6) == 2 * (len(enc.ids(ROWS[6][1])) + 1)
     assert packing.pack(none).count() == 0
     keyed = docs.filter("doc_id < 6")
-    full = packing.sequences(keyed, packing.pack(keyed, capacity=100, rounds=30))
-    assert sum(len(r["ids"]) for r in full.collect()) == sum(r["length"] for r in packing.pack(keyed, capacity=100, rounds=30).collect())
+    full = packing.sequences(keyed, packing.pack(keyed, capacity=100))
+    assert sum(len(r["ids"]) for r in full.collect()) == sum(r["length"] for r in packing.pack(keyed, capacity=100).collect())
 
 
 def brute_components(rows, num=85, den=100):

@@ -6,8 +6,8 @@
    whatever the size of the corpus.  The program "fewest sequences that cover
    every length's count" is solved by multiplicative weights; its columns
    (fillings of one sequence) are priced by a knapsack dynamic program.
-3. Columns are used a whole number of times; what is left goes, longest
-   first, into the fullest sequences it fits, again by counts.
+3. A share of the program is kept, its columns used a whole number of times; what
+   is left goes, longest first, into the fullest sequences it fits, again by counts.
 4. Each piece gets its rank among the pieces of its length from counts of
    (bucket, length), and looks its place up in the plan.
 
@@ -30,6 +30,8 @@ from .token_ids import encoder, vocabulary
 
 CAPACITY = 2048
 BUCKET_ROWS = 1_000_000
+GAP, LAST_STEP = 0.0003, 0.01
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 
 
 def pieces(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocab: tuple[str, str] | None = None) -> DataFrame:
@@ -59,11 +61,11 @@ def pieces(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int
     return df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The filling of greatest value: {index of a size: copies}, by dynamic programming over the capacity."""
+def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every capacity up to this one, the greatest value of a filling and the index of a size in it (-1: leave a place empty)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
         k = upto[c]
         best[c] = best[c - 1]
@@ -72,6 +74,12 @@ def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]
             i = int(gain.argmax())
             if gain[i] > best[c]:
                 best[c], took[c] = gain[i], i
+    return best, took
+
+
+def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
+    """The filling of greatest value: {index of a size: copies}, by dynamic programming over the capacity."""
+    _, took = knapsack(value, sizes, capacity)
     out: dict[int, int] = defaultdict(int)
     c = capacity
     while c > 0:
@@ -83,39 +91,94 @@ def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]
     return dict(out)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, eta: float = 2.0) -> list[tuple[dict[int, int], float]]:
-    """Columns {length: copies} and how often each is used, fractionally.
+def _pass(sizes: np.ndarray, need: np.ndarray, weight: np.ndarray, capacity: int, gap: float, step: float, every: int) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """Columns of near-best price for the weights, the share of each length that they leave, and the dual bound.
+
+    A phase may use the lengths of which at least its step is left, so that all
+    lengths run out together; it ends when no column of them comes within
+    ``gap`` of the best price, and the step is halved.
+    """
+    share, used = np.ones(len(sizes)), defaultdict(float)
+    base = sizes * weight
+    top = float(knapsack(base, sizes, capacity)[0][capacity])
+    while step >= LAST_STEP:
+        while True:
+            live = np.flatnonzero(share >= step)
+            if not len(live):
+                break
+            sz, nd, sh = sizes[live], need[live], share[live]
+            tilt = lambda x: np.exp(np.clip(0.1 * gap * (x - sh.mean()) / step, -1, 1))  # noqa: E731, B023
+            value = base[live] * tilt(sh)
+            best, _ = knapsack(value, sz, capacity)
+            upto = np.searchsorted(sz, np.arange(capacity + 1), "right").tolist()
+            done = 0
+            for _ in range(every):
+                column: dict[int, int] = {}
+                c, worth = capacity, 0.0
+                while n := upto[c]:
+                    gain = np.where(sh[:n] >= step, value[:n] + best[c - sz[:n]], -1)
+                    i = int(gain.argmax())
+                    if gain[i] < 0:
+                        break
+                    column[i] = column.get(i, 0) + 1
+                    worth += float(base[live[i]])
+                    c -= int(sz[i])
+                if worth < (1 - gap) * top:
+                    break
+                x = step * min(float(nd[i]) / a for i, a in column.items())
+                for i, a in column.items():
+                    sh[i] -= x * a / nd[i]
+                    value[i] = base[live[i]] * float(tilt(sh[i]))
+                used[tuple((int(sz[i]), a) for i, a in sorted(column.items()))] += x
+                done += 1
+            share[live] = sh
+            if not done:
+                break
+        step /= 2
+    return used, share, float(need @ base) / top
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, step: float = 0.5, every: int = 32) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(columns {length: copies} and how often each is used, fractionally; the dual bound on sequences).
 
-    Lengths that fill more than half a sequence by themselves with no partner
-    are covered by the same pricing; ``rounds`` bounds the driver's work.
+    Multiplicative weights: a length's value is its size times its weight; a pass
+    takes columns by knapsack pricing, and lengths that columns of near-best price
+    don't cover have their weights multiplied for the next pass, which pulls the
+    dual prices towards them.  Passes end when what is left uncovered is less
+    than ``gap`` of the bound or when three of them have raised neither bound nor coverage.
     """
     sizes = np.array(sorted(n for n in histogram if n < capacity), np.int64)
     if not len(sizes):
-        return []
+        return [], 0.0
     need = np.array([histogram[int(n)] for n in sizes], float)
-    cover = np.zeros(len(sizes))
-    used: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        weight = np.where(cover < 1, np.exp(-eta * cover), 0) * sizes  # covered lengths have no price left
-        if not weight.any():
+    weight, bound, cost, stale, kept = np.ones(len(sizes)), 0.0, np.inf, 0, {}
+    while stale < 3:
+        used, share, dual = _pass(sizes, need, weight, capacity, gap, step, every)
+        left = float((share * need) @ sizes) / capacity
+        now = sum(used.values()) + 2 * left
+        stale += 1
+        if dual > bound * (1 + gap / 10) or now < cost * (1 - gap / 10):
+            stale = 0
+        if now < cost:
+            cost, kept = now, used
+        bound = max(bound, dual)
+        if left < 2 * LAST_STEP * bound:
             break
-        column = price(weight, sizes, capacity)
-        step = min(need[i] * (1 - cover[i]) / a for i, a in column.items() if weight[i] > 0)
-        step = max(step, 1.0)
-        used[tuple(sorted(column.items()))] += step
-        for i, a in column.items():
-            cover[i] += step * a / need[i]
-    return [({int(sizes[i]): a for i, a in c}, x) for c, x in sorted(used.items(), key=lambda kv: -kv[1])]
+        weight = weight * np.exp(0.5 * share / max(float(share.max()), LAST_STEP))
+    return [({n: a for n, a in c}, x) for c, x in sorted(kept.items(), key=lambda kv: -kv[1])], bound
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
     """Fillings {length: copies} with whole numbers of sequences that hold exactly the histogram.
 
-    The rounded program, or best fit alone where that takes fewer sequences, as
-    it can with few pieces.
+    Rounding keeps a share of the program, each column a whole number of times,
+    and places the other pieces by best fit, which needs small ones to fill up with;
+    of the shares ``SHARES`` the one of fewest sequences counts, so a plan never has
+    more sequences than best fit alone (the share 0).
     """
-    columns = solve({n: k for n, k in histogram.items() if k > 0}, capacity, rounds)
-    return min((_rounded(histogram, capacity, c) for c in (columns, [])), key=lambda groups: sum(k for _, k in groups))
+    columns, _ = solve({n: k for n, k in histogram.items() if k > 0}, capacity, gap)
+    plans = (_rounded(histogram, capacity, [(c, x * part) for c, x in columns if x * part >= 1]) for part in SHARES)
+    return min(plans, key=lambda groups: sum(k for _, k in groups))
 
 
 def _rounded(histogram: dict[int, int], capacity: int, columns: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
@@ -164,12 +227,12 @@ def places(groups: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocab: tuple[str, str] | None = None, rounds: int = 400) -> DataFrame:
+def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocab: tuple[str, str] | None = None, gap: float = GAP) -> DataFrame:
     """Every piece with its sequence and offset."""
     spark = df.sparkSession
     p = cut(pieces(df, doc, text, capacity, vocab))
     histogram = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    table = places(plan(histogram, capacity, rounds))
+    table = places(plan(histogram, capacity, gap))
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
     p = p.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
