@@ -200,20 +200,32 @@ def test_fisher_yates_is_a_fixed_permutation():
     assert sorted(a.tolist()) == list(range(100)) and (a == sharding.fisher_yates(100, 1, 2)).all() and (a != sharding.fisher_yates(100, 1, 3)).any()
 
 
-def test_lines_share_a_coarse_hash_when_within_one_edit():
-    for _ in range(200):
-        n = R.choice([10, 11, 15, 16, 17, 31, 32, 33, 47, 63, 64, 65, 130])
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        row, old = [i], row
+        for j, b in enumerate(y, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+    return row[-1]
+
+
+def test_near_lines_share_a_key():
+    """As many edits as the bound allows, anywhere, of lines of every length up to 140 words."""
+    for n in list(range(10, 141)) * 4:
         x = [R.choice("abcdefgh") + str(R.randrange(9)) for _ in range(n)]
         y = list(x)
-        i = R.randrange(n)
-        kind = R.choice("rid")
-        y[i : i + (kind != "i")] = [] if kind == "d" else ["zz"]
-        if len(y) < line_dedup.NEAR_WORDS:
-            continue
-        keys = [set(line_dedup.Lines(*line_dedup.text_buffers_of([" ".join(t)])).coarse()[0].tolist()) for t in (x, y)]
-        assert keys[0] & keys[1], (n, i, kind)
-        assert line_dedup.within_one(x, y)
-    assert not line_dedup.within_one(list("abcd"), list("abdc"))
+        for _ in range(line_dedup.bound(n)):
+            i = R.choice([0, len(y) - 1, R.randrange(len(y)), len(y) // 2])
+            kind = R.choice("rid")
+            y[i : i + (kind != "i")] = [] if kind == "d" else [f"z{R.randrange(9)}"]
+        k = line_dedup.bound(min(n, len(y)))
+        lines = [line_dedup.Lines(*wordhash.text_buffers(pa.array([" ".join(t)]))) for t in (x, y)]
+        want = edits(x, y) <= k
+        assert line_dedup.within(lines[0].words, lines[1].words, k) == want
+        if want and k:
+            assert line_dedup._verified([lines[0].words], [lines[1].words]) == [True]
+            keys = [set(v.coarse()[0].tolist()) for v in lines]
+            assert keys[0] & keys[1], (n, len(y))
 
 
 def test_blocks():

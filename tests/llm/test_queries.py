@@ -251,38 +251,44 @@ def test_components(spark):
 
 
 def brute_lines(rows):
+    from test_pure import edits
+
     occ = [((i, k), i, k, tuple(WORD.findall(x))) for i, t in rows if t is not None and i is not None for k, x in enumerate(t.split("\n"))]
-    occ = [o for o in occ if len(o[3]) >= line_dedup.MIN_WORDS]
+    occ = [o for o in occ if o[3]]
     first = {}
     for o in sorted(occ, key=lambda o: o[0]):
         first.setdefault(o[3], o[0])
+    gone = {w for w, at in first.items() if any(a < at and (k := line_dedup.bound(min(len(x), len(w)))) and abs(len(x) - len(w)) <= k and edits(x, w) <= k for x, a in first.items())}
     drop = {}
     for at, i, k, w in occ:
-        near = len(w) >= line_dedup.NEAR_WORDS and any(len(x) >= line_dedup.NEAR_WORDS and a < first[w] and x != w and line_dedup.within_one(list(x), list(w)) for x, a in first.items())
-        if near or first[w] != at:
+        if w in gone or first[w] != at:
             drop.setdefault(i, set()).add(k)
     return drop
 
 
-def test_lines(spark, docs, none):
+@pytest.mark.parametrize("small", [line_dedup.SMALL, 2])
+def test_lines(spark, docs, none, small, monkeypatch):
+    """Against brute force; with few lines to a key also the way of keys of very many lines, in small blocks."""
     import random
 
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4 if small == 2 else line_dedup.BLOCK)
     r = random.Random(6)
-    bases = [[f"w{r.randrange(40)}" for _ in range(r.choice([2, 5, 9, 10, 11, 16, 17, 33, 64, 90]))] for _ in range(25)]
+    bases = [[f"w{r.randrange(40)}" for _ in range(r.choice([1, 2, 5, 9, 10, 11, 16, 19, 20, 21, 33, 64, 90]))] for _ in range(25)]
     rows = []
     for d in range(60):
         lines = []
-        for _ in range(r.randint(0, 5)):
+        for _ in range(r.randint(0, 7)):
             w = list(r.choice(bases))
-            for _ in range(r.choice([0, 0, 1, 1, 2])):
-                i = r.randrange(len(w))
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3, 4])):
+                i = r.randrange(len(w)) if w else 0
                 w[i : i + r.randint(0, 1)] = [f"n{r.randrange(4)}"] * r.randint(0, 1)
             lines.append(r.choice([" ", "  ", "\t"]).join(w))
         rows.append((d, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (None, rows[5][1]), (102, "\n\n")]
-    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute_lines(rows)
-    assert len(got) == len(rows)
+    rows += [(100, None), (101, ""), (None, rows[5][1]), (102, "\n\n"), (103, "one line " * 30_000 + "\n" + " ".join(f"q{i % 777}" for i in range(60_000)))]
+    got = line_dedup.dedup(spark.createDataFrame([(*x, "a", 1, 2) for x in rows], "doc_id long, text string, _dropped string, lines int, mask int")).collect()
+    want = brute_lines([x for x in rows if x[0] != 103])
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "_dropped", "lines", "mask"}
     for row in got:
         lost = want.get(row["doc_id"], set())
         assert set(row["_dropped"] or []) == lost, row
@@ -291,6 +297,14 @@ def test_lines(spark, docs, none):
     assert line_dedup.dedup(none).count() == 0 and line_dedup.dedup(docs).count() == len(ROWS)
 
 
+def test_lines_of_string_ids_and_repeated_ids(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    other = line.replace("w3 ", "x ").replace("w20", "y")
+    rows = [("b", f"{line}\nown words"), ("a", other), ("a", "another text of that id"), ("c", f"{line} z")]
+    got = {(r["doc_id"], tuple(r["_dropped"] or ())) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", ()), ("b", (0,)), ("c", (0,))}
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "WORD10 word11, word12 word13 word14 word15 word16"), (2, "nothing of this kind is in there"), (None, None), (3, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items).collect()}

@@ -1,43 +1,45 @@
 """Line dedup by a deletion-neighbourhood join: the earliest of equal and nearly equal lines stays.
 
-A line is its sequence of words (``[^\\x20\\x09-\\x0D]+``).  Lines of fewer than
-``MIN_WORDS`` words are never dropped.  A line occurrence is dropped
-
-* when an earlier occurrence, by (doc_id, line number), has the same words, or
-* when it has ``NEAR_WORDS`` words or more and an earlier line of that length
-  class is within one edit: one word replaced, inserted or deleted.
-
-The deletion neighbourhood is joined at two grains.  Coarse: a line of n words
-emits hashes of itself without each block of w and of w + 1 words (w between
-n/4 and n/2), each with the block's place, and of itself whole; one edit lies
-inside a block, so any two lines within the bound share a hash.  The hashes
-travel packed, one row for a bucket and slice of text, already reduced to one
-line for each hash and slice; the receiving side keeps one line for each hash,
-whatever the number of lines that share it.  Fine: only lines that share a
-coarse hash emit all their one-word deletions with places; equal deletions at
-one place, or a deletion equal to a whole line, mean one edit, which is verified
-on the words.  Both grains only use minima by hash, so no pairs of a group are made.
+A line is its sequence of words (``[^\\x20\\x09-\\x0D]+``).  Two lines are near when
+at most ``bound`` words replaced, inserted or deleted turn one into the other: one
+for each ten words of the shorter line, three at most (``bound``).  A line
+occurrence with a word is dropped when an earlier occurrence, by (doc_id, line number),
+has the same words or is near.
+
+1. Every line of ten words or more emits deletion variants as hashed keys.  Up to
+   19 words: the line without each block of w and of w + 1 words (w between n/4 and n/2)
+   and whole; one edit lies inside a block.  From 20 words: its first and its
+   last L words (L between n/3 and n/2) without each half, of one word more where an insertion
+   shifts them; of three edits one at most lies at one of the ends, so any two lines
+   within the bound share a key.
+2. Keys travel packed, one row for a bucket and slice of text, and are joined a bucket
+   at a time; buckets follow the number of keys, so a task's memory
+   doesn't grow with the corpus.  A key of up to ``SMALL`` lines gives its pairs.
+3. A key of more lines gives no pairs: each of its lines is compared with the earliest,
+   and lines that this leaves undecided go past all the key's lines in
+   blocks of about ``BLOCK``, spread over tasks.
+4. The edit distance of what shares a key is verified on the words.
 
 Defined results: null texts stay null and have no lines, an empty text has one
-empty line; rows without an id have no place in the order, so they keep all their lines and
+empty line; lines without a word are never dropped; very long lines and texts are
+read whole; rows without an id have no place in the order, so they keep all their lines and
 cost no other row any; repeated rows of one id lose the same lines; an empty table gives no rows;
-other columns are kept as they are.
+other columns are kept as they are, whatever their names; an input column ``_dropped`` is replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, documents
+from .shared import cut, documents, drop_cut
 from .wordhash import mix, slices, text_buffers, word_hashes
 
-MIN_WORDS = 3
-NEAR_WORDS = 10
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RATE, MOST = 10, 3
+SMALL, BLOCK = 8, 256
+BUCKET_BYTES = 32 << 20
+GRID = np.array(sorted([10 << k for k in range(24)] + [15 << k for k in range(24)]))
 _C = 0x9E3779B97F4A7C55
 _CI = pow(_C, -1, 2**64)
 _U = np.uint64
@@ -69,30 +71,40 @@ class Lines:
     def range(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.prefix[b] - self.prefix[a]) * self.down[a]
 
-    def _without(self, s, e, a, q) -> np.ndarray:
-        """Hash of each line without its words [a, q), and of the place a."""
-        rest = self.range(s + q, e)
-        n = (e - s) - q
-        return mix(self.range(s, s + a) + mix(rest + n.astype(_U)) * _U(3) + a.astype(_U) * _U(0x9E3779B1))
+    def _rest(self, a, b, c, d, tag) -> np.ndarray:
+        """Hash of the words [a, b) and [c, d) with a tag."""
+        return mix(self.range(a, b) + mix(self.range(c, d) + (d - c).astype(_U)) * _U(3) + tag.astype(_U) * _U(0x9E3779B1))
 
     def coarse(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, line's hash) of the block deletions of all lines long enough."""
-        long = self.n >= NEAR_WORDS
+        """(key, line's hash) of the deletion variants of all lines that may have a near one."""
         keys, lines = [], []
+        short = (self.n >= RATE) & (self.n <= 2 * RATE)
         width = 1 << np.maximum(np.floor(np.log2(np.maximum(self.n, 1))).astype(np.int64) - 1, 0)
         edge = (self.n & (self.n - 1)) == 0  # shares a grain with the next shorter lines
-        for w, m in ((width, long), (width // 2, long & edge & (self.n > NEAR_WORDS))):
+        for w, m in ((width, short), (width // 2, short & edge)):
             s, e, w, h = self.start[m], self.end[m], w[m], self.hash[m]
             n = e - s
-            keys.append(self._without(s, e, n, n))
+            keys.append(self._rest(s, e, e, e, n))
             lines.append(h)
             for k in range(int((-(-n // w)).max(initial=0))):
                 for more in (0, 1):
                     a = k * w
                     ok = (a < n) & ((more == 0) | (a + w < n))
                     q = np.minimum(a + w + more, n)
-                    keys.append(self._without(s[ok], e[ok], a[ok], q[ok]))
+                    keys.append(self._rest(s[ok], s[ok] + a[ok], s[ok] + q[ok], e[ok], a[ok]))
                     lines.append(h[ok])
+        long = self.n >= 2 * RATE
+        own = GRID[np.searchsorted(GRID, np.maximum(self.n // 2, RATE), "right") - 1]
+        less = GRID[np.searchsorted(GRID, np.maximum((self.n - MOST) // 2, RATE), "right") - 1]
+        for size, m in ((own, long), (less, long & (less < own))):
+            s, e, size, h = self.start[m], self.end[m], size[m], self.hash[m]
+            half = (size + 1) // 2
+            for more in (0, 1):
+                for a, q in ((size * 0, half), (half, size)):
+                    q, z = q + more, size + more
+                    keys.append(self._rest(s, s + a, s + q, s + z, size * 4 + (a > 0)))
+                    keys.append(self._rest(e - a, e, e - z, e - q, size * 4 + 2 + (a > 0)))
+                    lines += [h, h]
         return np.concatenate(keys), np.concatenate(lines)
 
 
@@ -100,20 +112,9 @@ def sequence_hash(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(x + n.astype(np.uint64) * _U(0xABCDEF1234567))
 
 
-def deletions(words: list[str]) -> tuple[int, list[int]]:
-    """Hash of a line and of the line without each of its words, as signed numbers."""
-    line = Lines(*text_buffers_of([" ".join(words)]))
-    n = int(line.n[0])
-    i = np.arange(n)
-    z = np.zeros(n, np.int64)
-    rest = line.range(z, i) + line.range(i + 1, z + n) * line.up[i]
-    return int(line.hash.view(np.int64)[0]), sequence_hash(rest, z + n - 1).view(np.int64).tolist()
-
-
-def text_buffers_of(texts: list[str]):
-    import pyarrow as pa
-
-    return text_buffers(pa.array(texts, pa.string()))
+def bound(n: int) -> int:
+    """The edits within which lines are near, of which the shorter has n words."""
+    return min(MOST, n // RATE)
 
 
 def _batches(batches):
@@ -130,7 +131,7 @@ def occurrences(df: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b, i, x in _batches(batches):
-            m = np.flatnonzero(x.n >= MIN_WORDS)
+            m = np.flatnonzero(x.n > 0)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(i + x.text[m])), pa.array(x.number[m].astype(np.int32)), pa.array(x.hash[m].view(np.int64)), pa.array(x.n[m].astype(np.int32))],
                 names=["doc_id", "line", "h", "n"],
@@ -139,137 +140,243 @@ def occurrences(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, line int, h long, n int")
 
 
-def sharing(df: DataFrame) -> DataFrame:
-    """h of the lines that share a coarse hash with another line."""
+def joined(df: DataFrame, keys: int) -> DataFrame:
+    """(large, a, b): pairs of lines that share a key (false), and (key, line) of keys of very many lines (true).
+
+    ``keys`` is about how many keys there are; the number of buckets follows from it.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
+    small = SMALL
+    buckets = max(2 * parts, -(-16 * keys // BUCKET_BYTES))
 
-    def scatter(batches):
+    def pack(batches):
         import pyarrow as pa
 
         for _, _, x in _batches(batches):
-            key, line = x.coarse()
-            o = np.lexsort((line, key))
-            key, line = key[o], line[o]
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            owner = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            other = line != line[owner]
-            known = np.unique(np.concatenate((line[other], line[owner[other]])))
-            key, line = key[head], line[head]
+            key, line = distinct_pairs(*x.coarse())
             bucket = (key >> _U(40)) % _U(buckets)
             o = np.argsort(bucket, kind="stable")
             key, line, bucket = key[o], line[o], bucket[o]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(cuts))
-            rows = [(int(k), key[cuts[k] : cuts[k + 1]].tobytes(), line[cuts[k] : cuts[k + 1]].tobytes()) for k in some]
-            if len(known):
-                rows.append((int(known[0] % _U(buckets)), b"", known.tobytes()))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "k", "h"])
+            begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            cuts = np.append(begins, len(bucket))
+            cols = [pa.array(bucket[begins].astype(np.int64)), *(pa.array([v[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for v in (key, line))]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "k", "h"])
 
     def gather(batches):
         import pyarrow as pa
 
-        def out(*hs):
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(hs)).view(np.int64))], names=["h"])
-
-        seen_k, seen_h = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        held_k, held_h, held = [], [], 0
-
-        def merge():
-            nonlocal seen_k, seen_h, held_k, held_h, held
-            k, h = np.concatenate([seen_k, *held_k]), np.concatenate([seen_h, *held_h])
-            o = np.argsort(k, kind="stable")
-            k, h = k[o], h[o]
-            head = np.ones(len(k), bool)
-            head[1:] = k[1:] != k[:-1]
-            owner = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
-            other = h != h[owner]
-            found = np.concatenate((h[other], h[owner[other]]))
-            seen_k, seen_h, held_k, held_h, held = k[head], h[head], [], [], 0
-            return found
+        def rows(large, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), large)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["large", "a", "b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at, size, least = None, 0, 0
+
+        def merge(end: bool):
+            nonlocal held, size, least
+            k, h = distinct_pairs(*(np.concatenate(x) for x in zip(*held)))
+            rank, count = ranks(k)
+            out = (count > small) if end else rank > small  # the small + 1 lines that stay show that the key is large
+            if out.any():
+                yield rows(True, k[out], h[out])
+            k, h = k[~out], h[~out]
+            held, size = [(k, h)], len(k)
+            least = size
+            if end:
+                pairs = [(h[:-d][same], h[d:][same]) for d in range(1, small) if (same := k[:-d] == k[d:]).any()]
+                if pairs:
+                    yield rows(False, *distinct_pairs(*(np.concatenate(x) for x in zip(*pairs))))
+                held, size, least = [], 0, 0
 
         for b in batches:
-            for k, h in zip(b.column(1), b.column(2)):
-                k, h = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(h.as_py(), np.uint64)
-                if not len(k):
-                    yield out(h)
-                    continue
-                held_k.append(k), held_h.append(h)
-                held += len(k)
-                if held > 1_000_000 + len(seen_k):
-                    yield out(merge())
+            for bucket, k, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if bucket != at and held:
+                    yield from merge(True)
+                at = bucket
+                held.append((np.frombuffer(k.as_py(), np.uint64), np.frombuffer(h.as_py(), np.uint64)))
+                size += len(held[-1][0])
+                if size > 1_000_000 + 2 * least:
+                    yield from merge(False)
         if held:
-            yield out(merge())
+            yield from merge(True)
 
-    packed = df.mapInArrow(scatter, "bucket int, k binary, h binary").repartition(parts, "bucket")
-    return packed.mapInArrow(gather, "h long").distinct()
+    packed = df.mapInArrow(pack, "bucket long, k binary, h binary")
+    return packed.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "large boolean, a long, b long")
 
 
-def near(df: DataFrame, first: DataFrame) -> DataFrame:
-    """h of the lines that have an earlier line within one edit."""
-    c = sharing(df).join(first, "h")
-    by_doc = c.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.line", "h")).alias("wanted"))
-    lines = (
-        df.join(by_doc, "doc_id")
-        .select("doc_id", F.split("text", "\n").alias("l"), F.explode("wanted").alias("w"))
-        .select(F.col("w.h").alias("h"), F.struct("doc_id", "w.line").alias("at"), F.get("l", F.col("w.line")).alias("text"))
-    )
-    lines = cut(lines.dropDuplicates(["h"]))
-
-    def fine(batches):
+def distinct_pairs(k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    o = np.lexsort((h, k))
+    k, h = k[o], h[o]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    return k[new], h[new]
+
+
+def ranks(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, each one's place among its equals and how many they are."""
+    begins = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begins, len(k)))
+    return np.arange(len(k)) - np.repeat(begins, count), np.repeat(count, count)
+
+
+def _mask(lines: str):
+    """A byte for each place up to the last of a sorted array of places: 1 at these."""
+    gap = F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get(F.col(lines), i - 1)).otherwise(-1) - 1), F.lit("1")))
+    return F.array_join(gap, "").cast("binary")
+
+
+def _at(mask: str, i):
+    return F.coalesce(F.substring(F.col(mask), i + 1, F.lit(1)) == F.lit(b"1"), F.lit(False))
+
+
+def words_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, w binary): the word hashes of the lines (h, at) of ``df``."""
+    by_doc = wanted.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("at.line", "h"))).alias("wanted"))
+    by_doc = by_doc.select("doc_id", "wanted", F.col("wanted.line").alias("places")).select("doc_id", "wanted", _mask("places").alias("mask"))
+    picked = F.filter(F.split("text", "\n"), lambda x, i: _at("mask", i))
+    lines = df.join(by_doc, "doc_id").select(F.explode(F.arrays_zip(F.col("wanted.h").alias("h"), picked.alias("text"))).alias("x")).select("x.h", "x.text")
+
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            hs, ids, places = [], [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, d = deletions([t])
-                hs += [h] * len(d)
-                ids += d
-                places += range(len(d))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["h", "d", "place"])
-
-    d = cut(lines.select("h", "text").mapInArrow(fine, "h long, d long, place int").join(lines.select("h", "at"), "h"))
-    # One word replaced: equal deletions at one place; the earliest of them stays.
-    group = d.groupBy("d", "place").agg(F.min_by("h", "at").alias("g"), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi")
-    replaced = d.join(group, ["d", "place"]).filter("h <> g").select("h", "g")
-    # One word more or less: a deletion equal to a whole line; the earlier of the two stays.
-    whole = lines.select(F.col("h").alias("d"), F.col("at").alias("at_whole"))
-    cross = d.join(whole, "d").select("h", "at", "d", "at_whole")
-    shorter = cross.filter("at_whole < at").select("h", F.col("d").alias("g"))
-    longer = cross.filter("at < at_whole").groupBy("d").agg(F.min_by("h", "at").alias("g")).select(F.col("d").alias("h"), "g")
-    pairs = replaced.union(shorter).union(longer).distinct()
-    both = pairs.join(lines.select("h", F.col("text").alias("x")), "h").join(lines.select(F.col("h").alias("g"), F.col("text").alias("y")), "g")
-
-    def verify(batches):
+            data, offsets = text_buffers(b.column(1))
+            hs = b.column(0).to_numpy(zero_copy_only=False)
+            for i, j in slices(offsets):
+                x = Lines(data, offsets[i : j + 1])
+                ok = np.flatnonzero(x.hash.view(np.int64) == hs[i:j]) if len(x.hash) == j - i else []  # another text of the same id gives no line
+                yield pa.RecordBatch.from_arrays([pa.array(hs[i:j][ok], pa.int64()), pa.array([x.words[x.start[q] : x.end[q]].tobytes() for q in ok], pa.binary())], names=["h", "w"])
+
+    return lines.filter("h is not null and text is not null").mapInArrow(run, "h long, w binary").dropDuplicates(["h"])
+
+
+def _counts(words: list[np.ndarray]) -> np.ndarray:
+    """How many words of each line fall into each of 16 classes: an edit changes two of them by one at most."""
+    at = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    all_ = np.concatenate(words) if len(at) else np.zeros(0, np.uint64)
+    return np.bincount(at * 16 + (all_ >> _U(60)).astype(np.int64), minlength=16 * len(words)).reshape(-1, 16)
+
+
+def _verified(x: list[np.ndarray], y: list[np.ndarray]) -> list[bool]:
+    if not x:
+        return []
+    k = np.minimum(MOST, np.minimum([len(v) for v in x], [len(v) for v in y]) // RATE)
+    may = np.abs(_counts(x) - _counts(y)).sum(1) <= 2 * k
+    return [bool(m) and within(a, b, int(e)) for m, a, b, e in zip(may, x, y, k)]
+
+
+def verify(pairs: DataFrame) -> DataFrame:
+    """Of (h, g, x, y), the (h, g) whose words x and y are near."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in b.column(c)] for c in (2, 3))
+            yield b.select(["h", "g"]).filter(pa.array(_verified(x, y), pa.bool_()))
+
+    return pairs.select("h", "g", "x", "y").mapInArrow(run, "h long, g long")
+
+
+def within(x: np.ndarray, y: np.ndarray, k: int) -> bool:
+    """Whether at most k elements replaced, inserted or deleted turn x into y: furthest places by diagonal."""
+    n, m = len(x), len(y)
+    if abs(n - m) > k:
+        return False
+
+    def slide(i: int, j: int) -> int:
+        c = min(n - i, m - j)
+        differ = x[i : i + c] != y[j : j + c]
+        p = int(differ.argmax()) if c > 0 else 0
+        return i + (p if c > 0 and differ[p] else max(c, 0))
+
+    far = {0: slide(0, 0)}
+    for e in range(k + 1):
+        if far.get(m - n, -1) >= n:
+            return True
+        if e == k:
+            return False
+        after = {}
+        for d in range(-e - 1, e + 2):
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i >= max(0, -d):
+                after[d] = slide(i, i + d)
+        far = after
+    return False
+
+
+def past(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, g): lines of ``queries`` (key, h, x) with the near lines of ``members`` (key, h, x) of their key.
+
+    Both go in blocks of about ``BLOCK``; every pair of blocks is a group of its own,
+    which holds its queries and streams its members.
+    """
+    size = lambda df: df.groupBy("key").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("parts"))
+    nq, nm = size(queries).withColumnRenamed("parts", "q"), size(members).withColumnRenamed("parts", "m")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = queries.join(nq, "key").join(nm, "key").select("key", F.pmod(F.xxhash64("h"), F.col("q")).alias("i"), every("m").alias("j"), F.lit(0).alias("side"), "h", "x")
+    right = members.join(nq, "key").join(nm, "key").select("key", F.pmod(F.xxhash64("h"), F.col("m")).alias("j"), every("q").alias("i"), F.lit(1).alias("side"), "h", "x").select("key", "i", "j", "side", "h", "x")
+    both = left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def run(batches):
         import pyarrow as pa
 
+        at, own = None, []
         for b in batches:
-            ok = [within_one(WORD.findall(x), WORD.findall(y)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield b.select(["h"]).filter(pa.array(ok, pa.bool_()))
+            out: list[tuple[int, int]] = []
+            for key, i, j, side, h, x in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if at != (key, i, j):
+                    at, own = (key, i, j), []
+                w = np.frombuffer(x, np.uint64)
+                if side == 0:
+                    own.append((h, w))
+                    continue
+                other = [(g, v) for g, v in own if g != h]
+                out += [(g, h) for (g, _), ok in zip(other, _verified([v for _, v in other], [w] * len(other))) if ok]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["h", "g"])
 
-    return both.select("h", "x", "y").mapInArrow(verify, "h long").distinct()
+    return both.mapInArrow(run, "h long, g long")
 
 
-def within_one(x: list[str], y: list[str]) -> bool:
-    """Whether one word replaced, inserted or deleted at most turns x into y."""
-    a = 0
-    while a < min(len(x), len(y)) and x[a] == y[a]:
-        a += 1
-    b = 0
-    while b < min(len(x), len(y)) - a and x[-1 - b] == y[-1 - b]:
-        b += 1
-    return max(len(x), len(y)) - a - b <= 1
+def near(df: DataFrame, first: DataFrame) -> DataFrame:
+    """h of the lines that have an earlier near line; ``first`` has (h, at, n) of the lines that may."""
+    found = cut(joined(df, 11 * first.count()))
+    meta = first.select("h", "at", "n")
+    members = found.filter("large").select(F.col("a").alias("key"), F.col("b").alias("h")).distinct().join(meta, "h")
+    some = not members.isEmpty()
+    pairs = found.filter("not large").select("a", "b").distinct()
+    if some:
+        members = cut(members)
+        earliest = members.groupBy("key").agg(F.min_by("h", "at").alias("g"))
+        pairs = pairs.union(members.join(earliest, "key").filter("h <> g").select(F.col("h").alias("a"), F.col("g").alias("b"))).distinct()
+    a, b = (meta.select(F.col("h").alias(c), F.col("at").alias(f"at_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    close = F.abs(F.col("n_a") - F.col("n_b")) <= F.least(F.lit(MOST), F.floor(F.least("n_a", "n_b") / RATE))
+    pairs = pairs.join(a, "a").join(b, "b").filter(close)
+    late = F.col("at_a") > F.col("at_b")
+    pairs = cut(pairs.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("g")))
+    known = pairs.select("h").union(pairs.select("g"))
+    if some:
+        known = known.union(members.select("h"))
+    words = cut(words_of(df, known.distinct().join(meta, "h").select("h", "at")))
+    drop_cut(found)
+    x = lambda c, to: words.select(F.col("h").alias(c), F.col("w").alias(to))
+    done = verify(pairs.join(x("h", "x"), "h").join(x("g", "y"), "g")).select("h").distinct()
+    if not some:
+        return done
+    done = cut(done)
+    open_ = members.join(earliest, "key").filter("h <> g").join(done, "h", "left_anti").select("key", "h")
+    rest = past(open_.join(x("h", "x"), "h").select("key", "h", "x"), members.join(open_.select("key").distinct(), "key", "left_semi").join(x("h", "x"), "h").select("key", "h", "x"))
+    a, b = (meta.select(F.col("h").alias(c), F.col("at").alias(f"at_{c}")) for c in "hg")
+    return done.union(rest.distinct().join(a, "h").join(b, "g").filter("at_g < at_h").select("h")).distinct()
 
 
 def dropped(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lines array<int>): the lines that each document loses, if any."""
     d = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     occ = cut(occurrences(d))
-    all_ = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("count"), F.first("n").alias("n"))
-    first = cut(all_)
-    gone = near(d, first.filter(F.col("n") >= NEAR_WORDS).select("h", "at")).withColumn("near", F.lit(True))
+    first = cut(occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("count"), F.first("n").alias("n")))
+    gone = near(d, first.filter(F.col("n") >= RATE)).withColumn("near", F.lit(True))
     touched = first.filter("count > 1").select("h", "at").join(gone, "h", "full_outer")
     lost = occ.join(touched, "h").filter(F.col("near") | (F.struct("doc_id", "line") != F.col("at")))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
@@ -277,10 +384,14 @@ def dropped(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
 
 def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with its text's surviving lines and the array<int> _dropped (null: none)."""
-    lost = dropped(df, doc, text).select(F.col("doc_id").alias("_tl_doc"), F.col("lines").alias("_tl_lines"))
-    j = df.join(lost, df[doc] == lost["_tl_doc"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_tl_lines", i)), "\n")
-    return j.select(*[F.when(F.col("_tl_lines").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else df[c] for c in df.columns], F.col("_tl_lines").alias("_dropped"))
+    names = [c for c in df.columns if c != "_dropped"]
+    own = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # no name of the input can clash
+    at, key = f"c{names.index(text)}", f"c{names.index(doc)}"
+    lost = dropped(df, doc, text).select(F.col("doc_id").alias("who"), "lines").select("who", "lines", _mask("lines").alias("mask"))
+    j = own.join(lost, F.col(key) == F.col("who"), "left")
+    kept = F.array_join(F.filter(F.split(F.col(at), "\n"), lambda x, i: ~_at("mask", i)), "\n")
+    new = F.when(F.col("mask").isNull(), F.col(at)).otherwise(kept)
+    return j.select(*[(new if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)], F.col("lines").alias("_dropped"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
