@@ -229,6 +229,29 @@ def test_near_duplicates_at_the_threshold_of_the_stage(spark):
     assert near_dup.forest((1, 1)).agree == near_dup.DEPTH
 
 
+@pytest.mark.parametrize("block", [8])
+def test_near_duplicates_in_a_crowded_region(spark, block, monkeypatch):
+    """Pages of one template, similar below and above the threshold, with string ids; in small blocks too."""
+    import random
+
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            i = r.randrange(len(w))
+            w[i] = f"n{d}x{i}"
+        rows.append((f"d{d:03}", " ".join(w), "x"))
+    rows.append((None, rows[0][1], "x"))
+    df = spark.createDataFrame(rows, "doc_id string, text string, who string")
+    got = sorted(map(tuple, near_dup.classes(df.repartition(3)).collect()), key=str)
+    want = sorted(brute_components([x[:2] for x in rows]), key=str)
+    assert got == want and len({c for _, _, c in want}) > 3
+    assert near_dup.dedup(df).columns == df.columns
+
+
 def test_components(spark):
     import random
 
