@@ -200,7 +200,7 @@ def test_fisher_yates_is_a_fixed_permutation():
     assert sorted(a.tolist()) == list(range(100)) and (a == sharding.fisher_yates(100, 1, 2)).all() and (a != sharding.fisher_yates(100, 1, 3)).any()
 
 
-def edits(x, y):
+def word_edits(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
         row, old = [i], row
@@ -220,7 +220,7 @@ def test_near_lines_share_a_key():
             y[i : i + (kind != "i")] = [] if kind == "d" else [f"z{R.randrange(9)}"]
         k = line_dedup.bound(min(n, len(y)))
         lines = [line_dedup.Lines(*wordhash.text_buffers(pa.array([" ".join(t)]))) for t in (x, y)]
-        want = edits(x, y) <= k
+        want = word_edits(x, y) <= k
         assert line_dedup.within(lines[0].words, lines[1].words, k) == want
         if want and k:
             assert line_dedup._verified([lines[0].words], [lines[1].words]) == [True]

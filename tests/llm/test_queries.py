@@ -97,6 +97,9 @@ def test_chat(spark):
     back = {r[0]: [tuple(x) for x in r[1]] for r in f.select("conv_id", chat_format.read_back(F.col("formatted"))).collect()}
     assert back == {1: [("us</s>er", controls * 3), ("assistant", controls)], 2: [("", ""), ("user", "a"), ("user", "b")], None: [("user", "x")]}
     assert chat_format.format_conversations(df.filter("false")).count() == 0
+    for r in f.select("conv_id", "formatted", "loss_spans", chat_format.under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        assert r["loss"] == (controls if r["conv_id"] == 1 else "")
+        assert all(r["formatted"][a + n : a + n + 4] == "</s>" and r["formatted"][:a].endswith("[INST]assistant[/INST]") for a, n in r["loss_spans"])
     parts = [[("image", None, "i.png", 10.0), ("text", "see <|image|>", None, None), ("audio", None, "a.wav", 1.5), ("odd", None, "z", 1.0), ("document", None, None, None)]]
     m = spark.createDataFrame([(1, 0, "user", p) for p in parts] + [(1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
     row = chat_format.format_conversations(m).first()
@@ -274,14 +277,14 @@ def test_components(spark):
 
 
 def brute_lines(rows):
-    from test_pure import edits
+    from test_pure import word_edits
 
     occ = [((i, k), i, k, tuple(WORD.findall(x))) for i, t in rows if t is not None and i is not None for k, x in enumerate(t.split("\n"))]
     occ = [o for o in occ if o[3]]
     first = {}
     for o in sorted(occ, key=lambda o: o[0]):
         first.setdefault(o[3], o[0])
-    gone = {w for w, at in first.items() if any(a < at and (k := line_dedup.bound(min(len(x), len(w)))) and abs(len(x) - len(w)) <= k and edits(x, w) <= k for x, a in first.items())}
+    gone = {w for w, at in first.items() if any(a < at and (k := line_dedup.bound(min(len(x), len(w)))) and abs(len(x) - len(w)) <= k and word_edits(x, w) <= k for x, a in first.items())}
     drop = {}
     for at, i, k, w in occ:
         if w in gone or first[w] != at:
@@ -339,6 +342,17 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean(none, items).count() == 0 and decontaminate.clean(docs, items.filter("false")).count() == len(ROWS)
 
 
+def test_item_ids_of_any_type_and_many_blocks(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "b" * 50_000 + text), (3, None)], "doc_id int, text string")
+    for kind, ident in (("int", 7), ("string", "7"), ("double", 7.0)):
+        items = spark.createDataFrame([(ident, text), (ident, text), (None, "x " * 300), (ident, None)], f"item_id {kind}, text string")
+        got = decontaminate.matches(docs, items, block_chars=40)
+        assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, ident), (2, ident)]
+    sizes = [sum(len(t) for _, t in b) for b in decontaminate.blocks(spark.createDataFrame([(i, "y" * (i % 7 + 1)) for i in range(99)], "item_id int, text string"), most=20)]
+    assert max(sizes) <= 20 and sum(sizes) == sum(i % 7 + 1 for i in range(99))
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     m = toxicity.train(docs, labels)

@@ -10,11 +10,15 @@ three at most) drops impossible windows, and Myers' bit-parallel distance
 decides.
 
 The items are a test set: they are sent to the workers in blocks of at most
-``BLOCK_CHARS`` characters, each checked before it is sent, and every block goes
+``BLOCK_CHARS`` characters (or one item that is longer by itself), each measured before it is sent, and every block goes
 over all documents, so a large test set costs more passes, not more memory.
 
-Defined results: null or empty texts match nothing; items that are null or have fewer than
-``MIN_CHARS`` normalised characters match nothing; a null doc_id is reported as
+Items of fewer than ``min_chars`` normalised characters name no passage: a few words
+occur by chance in any large corpus, and dropping each text with "the answer is" would
+drop clean ones.  They match nothing; ``min_chars=1`` looks for them too.
+
+Defined results: null or empty texts match nothing; null items match nothing; ids may be of any type; very long
+texts and items are searched whole; a null doc_id is reported as
 null, a null item_id too; repeated rows are reported each; of several matches
 of an item in a document the closest, then first, is reported; other columns are ignored by ``matches`` and
 carried through by ``clean``.  Texts are searched whole.
@@ -27,6 +31,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import documents
 
@@ -68,10 +73,11 @@ def distance(masks: dict[str, int], m: int, text: str, anchored: bool = False) -
 
 
 def _masks(s: str) -> dict[str, int]:
-    out: dict[str, int] = defaultdict(int)
+    """For each character, a number with a bit for each of its places."""
+    out: dict[str, bytearray] = defaultdict(lambda: bytearray(len(s) // 8 + 1))
     for i, c in enumerate(s):
-        out[c] |= 1 << i
-    return dict(out)
+        out[c][i >> 3] |= 1 << (i & 7)
+    return {c: int.from_bytes(b, "little") for c, b in out.items()}
 
 
 class Finder:
@@ -130,20 +136,28 @@ class Finder:
 
 
 def blocks(items: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_CHARS):
-    """Lists of (id, text) of at most about ``most`` characters each, one after another."""
-    t = items.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("t is not null")
+    """Lists of distinct (id, text) of at most ``most`` characters each, one after another; a longer item is alone."""
+    t = items.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("t is not null").distinct()
     total = t.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
-    n = max(1, -(-2 * total // most))  # hashed blocks differ in size; half full on average
+    n = max(1, -(-2 * total // most))  # hashed parts differ in size; half full on average
     for k in range(n):
         part = t if n == 1 else t.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        if rows := part.collect():
-            yield sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (str(r[0]), r[1]))
+        block, size = [], 0
+        for i, x in sorted(map(tuple, part.collect()), key=lambda r: (str(r[0]), r[1])):
+            if block and size + len(x) > most:
+                yield block
+                block, size = [], 0
+            block.append((i, x))
+            size += len(x)
+        if block:
+            yield block
 
 
 def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): every item found in every document, places in the normalised text."""
     d = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {docs.schema[doc].dataType.simpleString()}, item_id {items.schema[item].dataType.simpleString()}, distance int, start int, end int"
+    kind = to_arrow_type(items.schema[item].dataType)
     parts = []
     for block in blocks(items, item, item_text, block_chars):
         known = docs.sparkSession.sparkContext.broadcast(block)
@@ -156,8 +170,7 @@ def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
             for b in batches:
                 rows = [(i.as_py(), *h) for i, t in zip(b.column(0), b.column(1)) for h in find.hits(normalise(t.as_py() or ""))]
                 cols = list(zip(*rows)) or [()] * 5
-                kinds = [b.schema.field(0).type, None, pa.int32(), pa.int32(), pa.int32()]
-                kinds[1] = pa.string() if any(isinstance(x, str) for x in cols[1]) else pa.int64()
+                kinds = [b.schema.field(0).type, kind, pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         def some(batches, run=run):
