@@ -9,20 +9,21 @@ rounded up (units: image patches, seconds of audio, pages).
 A turn is ``<s>[INST]role[/INST]content</s>``.  Control strings inside roles and
 texts are escaped: their first character becomes ``&lt;`` or ``&lsb;``, and an
 ``&`` that already begins such an escape becomes ``&amp;``; reading back undoes
-it exactly.
+it exactly.  The spans of the contents of turns under the loss (those of the given
+roles) come with the string, in its code points.
 
 Defined results: null roles, texts and part arrays count as empty; an unknown
 part type gives no output; turns with equal numbers are ordered by role, then
 text, and repeated rows stay repeated turns; a null conversation id is a
-conversation of its own; other columns are ignored.  One conversation is one
-string, so it must fit a row.
+conversation of its own; other columns are ignored, whatever their names; a very long text
+is kept whole.  One conversation is one string, so it must fit a row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TURN, ROLE_END, END = "<s>[INST]", "[/INST]", "</s>"
@@ -75,18 +76,24 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.alias("ref"), F.lit(None).cast("double").alias("units")))
 
 
-def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
-    """(conv, formatted, attachments) of rows of messages."""
-    t = df.select(
-        F.col(conv).alias("_tl_conv"),
-        F.struct(
-            F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("content"), attachments(F.col(parts)).alias("media")
-        ).alias("m"),
-    )
-    g = t.groupBy("_tl_conv").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    body = F.transform("m", lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(ROLE_END), x["content"], F.lit(END)))
+def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv, formatted, attachments, loss_spans array<struct<start,length>>) of rows of messages."""
+    t = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("content"), attachments(F.col(parts)).alias("media"))
+    t = t.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(ROLE_END)))
+    chars = (F.length("head") + F.length("content") + len(END)).cast("long")
+    before = Window.partitionBy("conv").orderBy("turn", "role", "content", "media").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(chars).over(before), F.lit(0).cast("long")))
+    g = t.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "turn", "role", "head", "content", "media"))).alias("m"))
+    body = F.transform("m", lambda x: F.concat(x["head"], x["content"], F.lit(END)))
     media = F.flatten(F.transform("m", lambda x: F.transform(x["media"], lambda a: F.struct(x["turn"].alias("turn"), *[a[k].alias(k) for k in ("part", "type", "ref", "tokens")]))))
-    return g.select(F.col("_tl_conv").alias(conv), F.array_join(body, "").alias("formatted"), media.alias("attachments"))
+    said = F.filter("m", lambda x: x["role"].isin(*loss))
+    spans = F.transform(said, lambda x: F.struct((x["at"] + F.length(x["head"])).alias("start"), F.length(x["content"]).cast("long").alias("length")))
+    return g.select(F.col("conv").alias(conv), F.array_join(body, "").alias("formatted"), media.alias("attachments"), spans.alias("loss_spans"))
+
+
+def under_loss(formatted: Column, spans: Column) -> Column:
+    """The text under the loss, unescaped, cut out of the string by the spans."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
 def read_back(formatted: Column) -> Column:
@@ -111,13 +118,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "-1L AS conv_id", "x.turn AS turn", "x.role AS role", "'</s>[INST] ok [/INST]' AS text"
     )
     both = c.unionByName(probe).withColumn("parts", text_parts(F.col("text")))
-    f = format_conversations(both).select("conv_id", "formatted", read_back(F.col("formatted")).alias("t"))
+    f = format_conversations(both).select("conv_id", "formatted", "loss_spans", "attachments", read_back(F.col("formatted")).alias("t"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
-    f = f.select("conv_id", F.size("t").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    f = f.select(
+        "conv_id", F.size("t").cast("long").alias("n_turns"), said.alias("said"), under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), tokens.alias("attachment_tokens"),
+    )
     return f.select(
         "conv_id", "n_turns", F.sha2(F.encode("said", "utf-8"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2(F.encode("loss", "utf-8"), 256).alias("loss_sha256"), "formatted_chars",
+        F.sha2(F.encode("loss", "utf-8"), 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "attachment_tokens",
     )
 
 
@@ -138,6 +148,6 @@ g AS (SELECT conv_id, count(*) AS n, string_agg({_LINE}, '' ORDER BY turn, role,
              sum(length({_sql_escape('role')}) + length({_sql_escape('text')}) + {len(TURN + ROLE_END + END)}) AS chars
       FROM c GROUP BY conv_id)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
 FROM g
 """
