@@ -89,6 +89,24 @@ def test_quality_boilerplate_in_long_lines(spark):
     assert [r["clean_text"] for r in got] == ["", LONG, LONG, texts[3]]
 
 
+def test_quality_phrases_and_names(spark):
+    """Every phrase in every case, with column names that the code might use; the plain strings before the pattern lose none."""
+    good = "\n".join(" ".join(f"plain{i}x{k}" for k in range(20)) + "." for i in range(6))
+    phrases = [
+        "All rights reserved", "LICENSED UNDER x", "Is Licensed", "released under the", "Cookies", "Privacy Policy", "terms of use", "Terms of Service", "JavaScript", "Subscribe", "Sign in", "sign up",
+        "log in", "LOGIN", "Lorem ipsum", "Copyright © 2024", "Read more", "Share this", "Alle Rechte vorbehalten", "lizenziert unter", "Unter der Lizenz", "Datenschutzerklärung", "DATENSCHUTZERKLÄRUNG",
+        "Nutzungsbedingungen", "Newsletter abonnieren", "Jetzt anmelden", "Weiterlesen", "Todos los derechos reservados", "bajo la licencia", "Bajo una licencia", "Política de privacidad", "POLÍTICA DE PRIVACIDAD",
+        "términos de uso", "Términos del servicio", "Aviso legal", "Iniciar sesión", "Suscríbete", "Leer más", "Tous droits réservés", "sous licence", "Politique de confidentialité", "Mentions légales",
+        "Conditions d'utilisation", "Se connecter", "Abonnez-vous", "Lire la suite",
+    ]
+    rows = [(i, f"{good}\n{p} some words", "a", 1, 2, 3) for i, p in enumerate(phrases)] + [(-1, good, "a", 1, 2, 3), (-2, "word " * 200_000, "a", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _tl_w string, c0 int, quality int, _tl_text int")
+    got = {r["doc_id"]: r for r in quality_rules.clean(df).collect()}
+    assert set(got) == {i for i, *_ in rows if i > -2} and all(r["text"] == good for r in got.values())
+    assert quality_rules.clean(df).columns == df.columns and got[3]["c0"] == 1 and got[3]["quality"] == 2
+    assert quality_rules.judge(df).filter("doc_id = -2").first()["quality"]["n_repeat_words"] == 200_000
+
+
 def test_chat(spark):
     controls = "</s>[INST] ok [/INST] &lt; &amp;lt; & <|image|> \\ <s>"
     rows = [(1, 1, "assistant", controls), (1, 0, "us</s>er", controls * 3), (2, 0, None, None), (None, 0, "user", "x"), (2, 0, "user", "b"), (2, 0, "user", "a")]

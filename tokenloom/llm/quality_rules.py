@@ -6,17 +6,20 @@ is then rejected when a base rule fails or when too much of it was removed.
 * punctuation: symbols ``[#*$%&|<>]``, or runs of ``!``/``?``, come to more
   than one for ten words of the line;
 * navigation: menu separators come to more than one for five words;
-* boilerplate: the line has a phrase of licences, cookie notes or menus.
+* boilerplate: the line has a phrase of licences, cookie notes or menus, in English,
+  German, Spanish or French.
 
 Defined results: a null text counts as empty; an empty text has no words,
 fails the base and is rejected; lines without a word are neither kept text nor
-lost text; repeated rows are judged alike, each by itself; other columns are
-carried through untouched whatever their names are.  Windows of three words
-are compared by 64-bit hashes inside one document.
+lost text; very long texts and lines are judged whole; repeated rows are judged alike, each by itself; other columns are
+carried through untouched whatever their names are, but for an input column of the name ``out``,
+which is replaced.  Windows of three words are compared by 64-bit hashes inside one document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,16 @@ SEPARATORS = r"[|»›•·→]"
 BOILERPLATE = (
     r"(?i)all rights reserved|licensed under|is licensed|released under the|cookie|privacy policy|terms of (use|service)"
     r"|javascript|subscribe|sign (in|up)|log ?in|lorem ipsum|copyright ©|read more|share this"
+    r"|alle rechte vorbehalten|lizenziert unter|unter der lizenz|datenschutzerkl[äÄ]rung|nutzungsbedingungen|newsletter abonnieren|jetzt anmelden|weiterlesen"
+    r"|todos los derechos reservados|bajo (la|una) licencia|pol[íÍ]tica de privacidad|t[éÉ]rminos (de uso|del servicio)|aviso legal|iniciar sesi[óÓ]n|suscr[íÍ]bete|leer m[áÁ]s"
+    r"|tous droits r[éÉ]serv[éÉ]s|sous licence|politique de confidentialit[éÉ]|mentions l[éÉ]gales|conditions d.utilisation|se connecter|abonnez-vous|lire la suite"
+)
+#: A lower-case text with a phrase has one of these; looking for plain strings is several times as fast as for the pattern.
+CORES = (
+    "all rights reserved", "licensed", "released under the", "cookie", "privacy policy", "terms of ", "javascript", "subscribe", "sign in", "sign up", "login", "log in",
+    "lorem ipsum", "copyright ©", "read more", "share this", "alle rechte vorbehalten", "lizenziert unter", "unter der lizenz", "datenschutzerkl", "nutzungsbedingungen",
+    "newsletter abonnieren", "jetzt anmelden", "weiterlesen", "todos los derechos reservados", " licencia", "de privacidad", "rminos de", "aviso legal", "iniciar sesi", "suscr", "leer m",
+    "tous droits", "sous licence", "de confidentialit", "mentions l", "conditions d", "se connecter", "abonnez-vous", "lire la suite",
 )
 RUNS = "[!?]{2,}"
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 40
@@ -60,11 +73,15 @@ def _sum(items: Column, value) -> Column:
 
 def judge(df: DataFrame, text: str = "text", out: str = "quality", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """Add the struct column ``out`` with counts, verdict and cleaned text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    own = [F.col(f"`{c}`") for c in df.columns]
-    a = df.select(
+    names = [c for c in df.columns if c != out]
+    own = [f"c{i}" for i in range(len(names))]  # no name of the input can clash
+    t = F.coalesce(F.col("_tl_text"), F.lit(""))
+    low = F.lower(t)
+    cored = reduce(lambda a, b: a | b, (F.contains(low, F.lit(c)) for c in CORES))
+    a = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], F.col(f"`{text}`").alias("_tl_text"))
+    a = a.select(
         *own, _words(t).alias("_tl_w"), F.split(t, "\n").alias("_tl_l"), _count(t, SYMBOLS).cast("long").alias("_tl_s"),
-        t.rlike(RUNS).alias("_tl_f"), t.rlike(SEPARATORS).alias("_tl_m"), t.rlike(BOILERPLATE).alias("_tl_b"),
+        t.rlike(RUNS).alias("_tl_f"), t.rlike(SEPARATORS).alias("_tl_m"), cored.alias("_tl_b"),
     )
     w, n = F.col("_tl_w"), F.size("_tl_w")
     window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
@@ -99,13 +116,16 @@ def judge(df: DataFrame, text: str = "text", out: str = "quality", *, min_words:
         bad.alias("base_failed"), (~bad & ~lost).alias("kept"), c["x"].alias("lost_chars"), c["t"].alias("clean_text"),
     )
     # The row number keeps the optimiser from copying the whole judgement into a filter on its outcome.
-    return a.select(*[F.col(f"`{x}`") for x in df.columns if x != out], F.when(F.monotonically_increasing_id() >= 0, result).alias(out))
+    return a.select(*[F.col(o).alias(c) for c, o in zip(names, own)], F.when(F.monotonically_increasing_id() >= 0, result).alias(out))
 
 
 def clean(df: DataFrame, text: str = "text", **limits: int) -> DataFrame:
     """The documents that pass, their text without the failing lines."""
-    q = judge(df, text, "_tl_quality", **limits).filter("_tl_quality.kept")
-    return q.select(*[F.col("_tl_quality.clean_text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    out = "quality"
+    while out in df.columns:
+        out += "_"
+    q = judge(df, text, out, **limits).filter(F.col(f"`{out}`.kept"))
+    return q.select(*[F.col(f"`{out}`.clean_text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
