@@ -232,12 +232,26 @@ def test_blocks():
     page = "<title>t</title><body><nav class='mainMenu'><a href=x>one</a></nav><script>var t='</p>';</script><p>a &amp; b<b>c</b>\n d<p>e<br>f<!-- no --><div>1 < 2</div></body>"
     got = [(b.text, b.linked > 0) for b in html_blocks.blocks(page)]
     assert got == [("one", True), ("a & bc d", False), ("e", False), ("f", False), ("1 < 2", False)]
-    assert html_blocks.blocks(page)[0].path[-1] == ("nav", ".main", ".menu")
+    assert html_blocks.blocks(page)[0].path.element == ("nav", ".main", ".menu")
     for odd in ("", "<", "</", "<p", "<!--", "text", "<script>x", "</p></p>", "<a <b>", "&#x41;&bogus;"):
         html_blocks.blocks(odd)
     assert html_blocks.vectors([]).shape == (0, html_blocks.DIMS)
 
 
+def test_deep_and_malformed_pages():
+    """Nothing of a path is cut off, elements of an article that are shown keep their text, and the time is linear."""
+    import time
+
+    page = "<article><p>Where <math>x + y</math> is <canvas>a <object>b.<p>The <svg><text>c</text></svg> end<select><p>of it"
+    assert " ".join(b.text for b in html_blocks.blocks(page)) == "Where x + y is a b. The c end of it"
+    deep = html_blocks.blocks("<nav>" + "<font>" * 60 + "<div>in</div></nav><p>out")
+    assert [b.path.depth for b in deep] == [62, 1] and ("nav",) in list(deep[0].path) and ("nav",) not in list(deep[1].path)
+    began = time.perf_counter()
+    for odd in ("<div>a" * 100_000, "<p>a" * 100_000, "<font>" * 50_000 + "<div>a</div>" * 5_000, "<select><p>a" * 20_000, "<!--" * 50_000, "&" * 300_000):
+        html_blocks.vectors(html_blocks.blocks(odd))
+    assert time.perf_counter() - began < 60
+
+
 def test_comments_that_look_like_labels():
     page = "<p>one<!--====== header ======--> two<!--=1--> three</p><!--=--><p>four</p>"
     assert html_blocks.blocks(page) == html_blocks.blocks(page.replace("=", "-"))

@@ -73,7 +73,7 @@ def test_extraction_of_articles(spark):
         article = re.sub(r"</?(p|h1|br)>", " ", p.split("<article>")[1].split("</article>")[0].split("<footer>")[0])
         right += got[i]["text"] == " ".join(html.unescape(re.sub(r"</?b>", "", article)).split())
         assert got[i]["n_chars"] == len(got[i]["text"])
-    assert right >= 0.9 * len(pages)
+    assert right == len(pages)
 
 
 def test_toxicity_columns(spark):

@@ -1,9 +1,12 @@
 """HTML into leaf blocks: one linear pass, no tree (pure Python and numpy).
 
 A leaf block is the text between two block-level tags, with the path of open
-elements above it.  Scripts, styles and other raw elements, comments and
-declarations give no text.  Closing tags without an opening one are ignored,
-unclosed elements end with the page, a ``<`` that begins no tag is text.
+elements above it, all of them, however many.  Scripts, styles, the head, form controls with text and
+other elements that aren't shown, comments and declarations give no text; a script or style
+that isn't closed ends with the page, as in browsers, and of the others only the
+tag is ignored then.  Closing tags without an opening one are ignored,
+unclosed elements end with the page, a ``<`` that begins no tag is text.  The time
+is linear in the page: paths are shared by their blocks, and tags that aren't open are not looked for.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,22 +23,56 @@ from .wordhash import text_buffers, word_hashes
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas audio video head".split())
+RAW = frozenset("script style template iframe textarea title select head".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SUBWORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 HEAD = re.compile(r"<body\b", re.I)
+CLOSE = {tag: re.compile(rf"</{tag}\s*>" + ("" if tag == "head" else "?"), re.I) for tag in RAW}
 
 PATH_DIMS, WORD_DIMS, NUMBERS = 64, 32, 12
 DIMS = PATH_DIMS + WORD_DIMS + NUMBERS
 
 
+class Path:
+    """An open element with those above it."""
+
+    __slots__ = ("element", "above", "depth", "_sum")
+
+    def __init__(self, element: tuple, above: Path | None) -> None:
+        self.element, self.above, self._sum = element, above, None
+        self.depth = above.depth + 1 if above else 1
+
+    def __iter__(self):
+        """The elements from the inmost to the outmost."""
+        p = self
+        while p:
+            yield p.element
+            p = p.above
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Path) and self.depth == other.depth and all(a == b for a, b in zip(self, other))
+
+    __hash__ = None
+
+    def sum(self) -> np.ndarray:
+        """The sum of the elements' vectors, remembered by each path."""
+        todo, p = [], self
+        while p and p._sum is None:
+            todo.append(p)
+            p = p.above
+        v = p._sum if p else np.zeros(PATH_DIMS, np.float32)
+        for q in reversed(todo):
+            v = q._sum = v + element_vectors(q.element)[0]
+        return v
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple
+    path: Path | None
     linked: int
     label: int | None = None
 
@@ -51,11 +89,13 @@ def _element(tag: str, attributes: str) -> tuple:
 def blocks(page: str, labels: bool = False) -> list[Block]:
     """The leaf blocks with text of a page, in order; with ``labels``, comments ``=N`` are labels of a training page."""
     out: list[Block] = []
-    stack: list[tuple] = []
+    stack: list[Path] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     label: int | None = None
     at, end = 0, len(page)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -63,10 +103,15 @@ def blocks(page: str, labels: bool = False) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).replace("\xa0", " ").strip()
             text = SPACE.sub(" ", text)
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text)), label))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text)), label))
             parts.clear()
         linked = 0
 
+    def close(i: int) -> None:
+        for e in stack[i:]:
+            open_[e.element[0]] -= 1
+        del stack[i:]
+
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -75,7 +120,7 @@ def blocks(page: str, labels: bool = False) -> list[Block]:
         if m.start() > at:
             t = page[at : m.start()]
             parts.append(t)
-            if links:
+            if open_["a"]:
                 linked += len(t)
         at = m.end()
         tag = m[3]
@@ -88,66 +133,71 @@ def blocks(page: str, labels: bool = False) -> list[Block]:
         if m[2]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[i][0] == tag:
-                    links -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].element[0] == tag))
             continue
         if tag not in INLINE:
             flush()
         if tag in RAW:
             if tag == "head":
-                b = HEAD.search(page, at)
-                close = re.compile(r"</head\s*>", re.I).search(page, at)
-                if b is None and close is None:
+                b, done = (x.search(page, at) if tag not in unclosed else None for x in (HEAD, CLOSE["head"]))
+                if b is None and done is None:
+                    unclosed.add(tag)
                     continue
-                at = min(x for x in (b and b.start(), close and close.end()) if x is not None)
+                at = min(x for x in (b and b.start(), done and done.end()) if x is not None)
                 continue
             if m[0].endswith("/>"):
                 continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-            at = end if close is None else close.end()
+            done = CLOSE[tag].search(page, at) if tag not in unclosed else None
+            if done is not None:
+                at = done.end()
+            elif tag in ("script", "style"):
+                at = end
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID or m[0].endswith("/>"):
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                if stack[i][0] == "p":
-                    links -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
+            for i in range(len(stack) - 1, -1, -1) if open_["p"] else ():
+                if stack[i].element[0] == "p":
+                    close(i)
                     break
-                if stack[i][0] not in INLINE:
+                if stack[i].element[0] not in INLINE:
                     break
-        elif tag in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-        stack.append(_element(tag, m[4]))
-        links += tag == "a"
+        elif tag in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1].element[0] == tag:
+            close(len(stack) - 1)
+        stack.append(Path(_element(tag, m[4]), stack[-1] if stack else None))
+        open_[tag] += 1
     flush()
     return out
 
 
-_paths: dict[tuple, np.ndarray] = {}
+_elements: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def path_vector(path: tuple) -> np.ndarray:
-    """A hashed vector of a tag path: its elements anywhere, and the last element by itself."""
-    v = _paths.get(path)
+def element_vectors(element: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed vectors of an element: as any one of a path, and as its last."""
+    v = _elements.get(element)
     if v is None:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        v = np.zeros(PATH_DIMS, np.float32)
-        for depth, e in enumerate(path[-12:]):
-            for w in e:
-                h = zlib.crc32(w.encode())
-                v[h % PATH_DIMS] += 1 if h & 1 << 20 else -1
-                if depth == len(path[-12:]) - 1:
-                    h = zlib.crc32(("$" + w).encode())
-                    v[h % PATH_DIMS] += 1 if h & 1 << 20 else -1
-        v = _paths[path] = np.clip(v, -3, 3)
+        if len(_elements) > 20_000:
+            _elements.clear()
+        v = np.zeros(PATH_DIMS, np.float32), np.zeros(PATH_DIMS, np.float32)
+        for w in element:
+            for x, mark in zip(v, ("", "$")):
+                h = zlib.crc32((mark + w).encode())
+                x[h % PATH_DIMS] += 1 if h & 1 << 20 else -1
+        _elements[element] = v
     return v
 
 
+def path_vector(path: Path | None) -> np.ndarray:
+    """A hashed vector of a tag path: its elements anywhere, and the last element by itself."""
+    if path is None:
+        return np.zeros(PATH_DIMS, np.float32)
+    return np.clip(path.sum() + element_vectors(path.element)[1], -3, 3)
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     """One row of DIMS numbers for each block."""
     import pyarrow as pa
@@ -172,8 +222,8 @@ def vectors(found: list[Block]) -> np.ndarray:
     z[:, 4] = [min(1.0, b.text.count(".") / 5) for b in found]
     z[:, 5] = [min(1.0, b.text.count(",") / 5) for b in found]
     z[:, 6] = [("©" in b.text) or ("·" in b.text) for b in found]
-    z[:, 7] = np.minimum([len(b.path) for b in found], 12) / 6
-    z[:, 8] = [b.path[-1][0] in ("h1", "h2", "h3") if b.path else False for b in found]
+    z[:, 7] = np.minimum([b.path.depth if b.path else 0 for b in found], 12) / 6
+    z[:, 8] = [b.path.element[0] in ("h1", "h2", "h3") if b.path else False for b in found]
     z[:, 9] = words < 5
     z[:, 10] = words > 20
     z[:, 11] = [b.text[:1].isupper() for b in found]

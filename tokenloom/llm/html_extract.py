@@ -175,6 +175,7 @@ def training_page(r: random.Random) -> str:
         "newsletter": lambda: f"<section{cls('newsletter', 'signup', 'subscribe-box')}><p>{text(1, 2)}</p><input><button>{word()}</button></section>",
         "share": lambda: f"<div{cls('share', 'social', 'share-buttons', 'tags', 'byline', 'meta', 'author-box')}><a href='#'>{word()}</a> <a href='#'>{word()}</a></div>",
         "comments": lambda: f"<{(e := r.choice(('section', 'div', 'ol')))}{cls('comments', 'comment-list', 'discussion', 'responses', 'reader-comments')}>" + "".join(f"<{(k := r.choice(('div', 'li', 'p', 'article')))}{cls('comment', 'reply', 'comment-body')}><b>{word().title()}</b> <p>{text(1, 4)}</p></{k}>" for _ in range(r.randint(1, 6))) + f"</{e}>",
+        "bare": lambda: f"<{(e := r.choice(('aside', 'nav', 'header', 'footer', 'form')))}>{r.choice((text(1, 2), '<p>' + text(1, 3) + '</p>', '<div>' + text(1, 1) + '</div>'))}</{e}>",
         "script": lambda: f"<script>var t=\"</p>\";{word()}({r.randint(0, 9)});</script><style>p{{margin:0}}</style>",
     }
 
@@ -205,14 +206,14 @@ def training_page(r: random.Random) -> str:
 
     e = r.choice(("article", "article", "article", "main", "div", "div", "section"))
     attr = "" if e in ("article", "main") and r.random() < 0.7 else f' class="{r.choice(_KEEP_CLASS) or hashed}"'
-    head = "<html><head><title>x</title></head><body>"
-    before = some(["nav", "menu", "header", "headdiv", "ad", "notice", "form", "script", "sidebar", "aside"], 5)
+    head = r.choice(("<html><head><title>x</title></head><body>",) * 3 + ("<body>", ""))
+    before = some(["nav", "menu", "header", "headdiv", "ad", "notice", "form", "script", "sidebar", "aside", "bare"], 5)
     tail = some(["comments", "share", "newsletter"], 2) if r.random() < 0.4 else ""
-    after = some(["footer", "footdiv", "aside", "sidebar", "comments", "ad", "newsletter", "nav", "form"], 5)
+    after = some(["footer", "footdiv", "aside", "sidebar", "comments", "ad", "newsletter", "nav", "form", "bare", "header"], 5)
     inner = f"<{e}{attr}>{body()}{tail}</{e}>"
     if r.random() < 0.4:
         inner = f"<div class=\"{r.choice(('wrapper', 'container', 'page', 'layout', hashed))}\">{inner}</div>"
-    return head + before + inner + after + ("</body></html>" if r.random() < 0.9 else "")
+    return head + before + inner + after + ("</body></html>" if head and r.random() < 0.9 else "")
 
 
 def training_set(pages: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
