@@ -82,3 +82,12 @@ def test_toxicity_columns(spark):
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Of the supplied labels, on the documents that the fit has not seen: few of the clean ones flagged, most of the toxic ones found."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(labels[r["doc_id"]], r["predicted"]) for r in catalog.QUERIES["op2_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert sum(y == p for y, p in got) >= 0.95 * len(got)
+    assert sum(p for y, p in got if y) >= 0.8 * sum(y for y, _ in got)

@@ -8,7 +8,8 @@ scoring then locates the sentences with p >= 0.5.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0.
 ``SAMPLE`` bounds the rows fitted on, half of each label where there are as
-many, and rows are weighted back to the labels' true shares.
+many, and rows are weighted back to the labels' true shares; ``LONGEST`` bounds the bytes
+of each, so the driver holds a bounded sample.  One join reads it.
 
 Defined results: a null or empty text has no sentence and score 0; a null id is
 scored and never learned from; null labels are left out; a document labelled twice counts as
@@ -23,6 +24,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ from .shared import documents
 
 BITS = 18
 SAMPLE = 4000
+LONGEST = 1 << 18
 MIN_DOCUMENTS = 3
 SENTENCE = re.compile(r"[^.!?\n]+")
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”„’‘"
@@ -147,18 +150,21 @@ def held_out(doc: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """Fit on at most ``sample`` labelled rows that are not held out."""
     lab = labels.select(F.col(doc).alias("_tl_doc"), F.col(label).alias("_tl_y")).filter(F.col("_tl_doc").isNotNull() & F.col("_tl_y").isNotNull() & ~held_out("_tl_doc"))
     counts = {r["y"]: r["n"] for r in lab.groupBy((F.col("_tl_y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     least = min(counts.values(), default=0)
-    rows: list[tuple[str, int, float]] = []
+    parts = []
     for y, n in counts.items():
         take = min(n, max(sample // 2, sample - least))
         some = lab.filter((F.col("_tl_y") > 0) == F.lit(y)).orderBy(F.xxhash64("_tl_doc"), "_tl_doc").limit(take)
-        d = docs.select(F.col(doc).alias("_tl_doc"), F.col(text).alias("_tl_text"))
-        rows += [(r["_tl_text"], int(y), n / take) for r in d.join(F.broadcast(some), "_tl_doc").select("_tl_text").collect()]  # `sample` bounds both
-    return fit(sorted(rows, key=lambda r: (r[1], r[0] or "")))
+        parts.append(some.select("_tl_doc", F.lit(int(y)).alias("_tl_y"), F.lit(n / take).alias("_tl_w")))
+    if not parts:
+        return fit([])
+    d = docs.select(F.col(doc).alias("_tl_doc"), F.col(text).alias("_tl_text")).filter(F.octet_length("_tl_text") <= longest)
+    got = d.join(F.broadcast(reduce(DataFrame.union, parts)), "_tl_doc").select("_tl_text", "_tl_y", "_tl_w").collect()  # `sample` and `longest` bound both
+    return fit(sorted(map(tuple, got), key=lambda r: (r[1], r[0] or "")))
 
 
 def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
