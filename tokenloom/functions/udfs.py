@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import kernels
-from ..errors import EncodeError
 from ..ir import Vocabulary
 
 SPANS = "array<struct<start_byte:bigint,end_byte:bigint>>"
@@ -26,23 +27,26 @@ def encoder(spark: SparkSession, v: Vocabulary, mode: str = "word", strategy: st
     kernels.Encoder(v, mode, strategy)
     known = spark.sparkContext.broadcast(v)  # a vocabulary file, not data
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = kernels.Encoder(known.value, mode, strategy)
+        for s in batches:
+            ids, begins, good = e.encode_all(s.to_pylist(), on_error == "null")
+            yield pa.ListArray.from_arrays(pa.array(begins.astype("int32")), pa.array(ids), mask=None if good.all() else pa.array(~good))
+
+    return F.arrow_udf(run, "array<bigint>")
 
-        def one(t):
-            if t is None:
-                return None
-            try:
-                return e.encode(t)
-            except EncodeError:
-                if on_error == "raise":
-                    raise
-                return None
 
+def token_counter(spark: SparkSession, v: Vocabulary, mode: str = "word", strategy: str = "stepwise") -> Callable[[Column], Column]:
+    """text -> how many ids it has, without the ids themselves; null text gives null."""
+    known = spark.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = kernels.Encoder(known.value, mode, strategy)
         for s in batches:
-            yield s.map(one, na_action=None) if len(s) else pd.Series([], dtype=object)
+            _, begins, good = e.encode_all(s.to_pylist())
+            yield pa.array(begins[1:] - begins[:-1], pa.int64(), mask=~good)
 
-    return F.pandas_udf(run, "array<bigint>")
+    return F.arrow_udf(run, "long")
 
 
 def bulk_stats(spark: SparkSession, v: Vocabulary) -> Callable[[Column], Column]:
@@ -59,11 +63,15 @@ def bulk_stats(spark: SparkSession, v: Vocabulary) -> Callable[[Column], Column]
 
 
 def _spans(f: Callable[[bytes], list[tuple[int, int]]]) -> Callable[[Column], Column]:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield pd.Series([None if t is None else [{"start_byte": a, "end_byte": b} for a, b in f(t.encode())] for t in s], dtype=object)
+            found = [None if t is None else f(t.encode()) for t in s.to_pylist()]
+            flat = np.array([x for spans in found for x in spans or ()], np.int64).reshape(-1, 2)
+            ends = np.cumsum([0, *(len(x or ()) for x in found)]).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], names=["start_byte", "end_byte"])
+            yield pa.ListArray.from_arrays(pa.array(ends), rows, mask=pa.array([x is None for x in found]))
 
-    return F.pandas_udf(run, SPANS)
+    return F.arrow_udf(run, SPANS)
 
 
 def pretoken_spans() -> Callable[[Column], Column]:
@@ -82,26 +90,20 @@ def blank_chunks(chunk_kb: int) -> Callable[[Column], Column]:
 def byte_sum() -> Callable[[Column], Column]:
     """text -> the sum of its bytes modulo 2**32."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield pd.Series([None if t is None else sum(t.encode()) & 0xFFFFFFFF for t in s], dtype="Int64")
+            yield pa.array([None if t is None else int(np.frombuffer(t.encode(), np.uint8).sum(dtype=np.uint64)) & 0xFFFFFFFF for t in s.to_pylist()], pa.int64())
 
-    return F.pandas_udf(run, "long")
+    return F.arrow_udf(run, "long")
 
 
 def register(spark: SparkSession, v: Vocabulary) -> None:
-    """SQL functions for a vocabulary: tokenize_words, pretokens, and encode in each mode as ``encode_<mode>``."""
-
-    @F.pandas_udf("array<string>")
-    def tokenize_words(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else kernels.WORD.findall(t))
-
-    @F.pandas_udf("array<string>")
-    def pretokens(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else kernels.PRE.findall(t))
+    """SQL functions for a vocabulary: tokenize_words, pretokens (built-in functions inside), and encode in each mode as ``encode_<mode>``."""
+    from . import text
 
-    spark.udf.register("tokenize_words", tokenize_words)
-    spark.udf.register("pretokens", pretokens)
+    for name, pattern in (("tokenize_words", text.WORD_FAST), ("pretokens", text.PRE)):
+        literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(t, '{literal}', 0)")
     for m in kernels.MODES:
         spark.udf.register(f"encode_{m}", encoder(spark, v, m))
     name = {"Bpe": "bpe_encode", "WordPiece": "wordpiece_encode", "Unigram": "unigram_encode"}[v.algo]

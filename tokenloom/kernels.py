@@ -7,7 +7,10 @@ real token merges like that token.
 from __future__ import annotations
 
 import re
+import struct
+from array import array
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 from .errors import EncodeError
 from .ir import BPE_UNKNOWN, UNIGRAM_UNKNOWN, WORDPIECE_UNKNOWN, Vocabulary, f32
@@ -21,29 +24,69 @@ ADAPTIVE_BYTES = 4096
 MODES = ("word", "pretoken", "bulk", "stream", "adaptive")
 
 
+SHORT = 24
+
+
 def merge_stepwise(ids: list[int], table: dict) -> list[int]:
-    """Merge the pair of lowest rank, the leftmost of several, one at a time."""
-    ids = list(ids)
-    while len(ids) > 1:
-        best = min(((r[0], i) for i, p in enumerate(zip(ids, ids[1:])) if (r := table.get(p))), default=None)
-        if best is None:
-            break
-        i = best[1]
-        ids[i : i + 2] = [table[ids[i], ids[i + 1]][1]]
-    return ids
+    """Merge the pair of lowest rank, the leftmost of several, one at a time.
+
+    Long words keep their pairs in a heap by (rank, place) over linked symbols, so
+    the time is n log n; for short ones a scan for the lowest rank is faster.
+    """
+    get = table.get
+    if len(ids) <= SHORT:
+        ids = list(ids)
+        known = [get(p) for p in zip(ids, ids[1:])]
+        while True:
+            low, at = None, -1
+            for i, r in enumerate(known):
+                if r is not None and (low is None or r[0] < low):
+                    low, at = r[0], i
+            if low is None:
+                return ids
+            ids[at : at + 2] = [known[at][1]]
+            known[at : at + 1] = []
+            if at:
+                known[at - 1] = get((ids[at - 1], ids[at]))
+            if at < len(known):
+                known[at] = get((ids[at], ids[at + 1]))
+    n = len(ids)
+    symbol: list[int | None] = list(ids)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r[0], i, *p, r[1]) for i, p in enumerate(zip(ids, ids[1:])) if (r := get(p)) is not None]
+    heapify(heap)
+    while heap:
+        _, i, a, b, merged = heappop(heap)
+        j = after[i]
+        if symbol[i] != a or j >= n or symbol[j] != b:
+            continue  # one of the two has been merged meanwhile
+        symbol[i], symbol[j] = merged, None
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := get((merged, symbol[k]))) is not None:
+                heappush(heap, (r[0], i, merged, symbol[k], r[1]))
+        h = before[i]
+        if h >= 0 and (r := get((symbol[h], merged))) is not None:
+            heappush(heap, (r[0], h, symbol[h], merged, r[1]))
+    return [x for x in symbol if x is not None]
 
 
 def merge_sweep(ids: list[int], table: dict) -> list[int]:
-    """In turn, merge every pair of the lowest rank there is, from the left and without overlap."""
-    ids = list(ids)
+    """In turn, merge every pair of the lowest rank there is, from the left and without overlap.
+
+    A sweep costs the word's length, and there are as many as ranks that occur in it, however long it is.
+    """
+    ids, get = list(ids), table.get
     while len(ids) > 1:
-        low = min((r[0] for p in zip(ids, ids[1:]) if (r := table.get(p))), default=None)
+        known = [get(p) for p in zip(ids, ids[1:])]
+        low = min((r[0] for r in known if r is not None), default=None)
         if low is None:
             break
-        out, i = [], 0
-        while i < len(ids):
-            r = table.get((ids[i], ids[i + 1])) if i + 1 < len(ids) else None
-            if r and r[0] == low:
+        out, i, last = [], 0, len(ids) - 1
+        while i <= last:
+            r = known[i] if i < last else None
+            if r is not None and r[0] == low:
                 out.append(r[1])
                 i += 2
             else:
@@ -89,35 +132,55 @@ def _longest(v: Vocabulary) -> int:
     return n
 
 
-def _byte_tokens(v: Vocabulary) -> tuple[dict[bytes, tuple[int, float]], int]:
+def _byte_tokens(v: Vocabulary) -> dict[int, tuple[list[int], dict[bytes, tuple[int, float]]]]:
+    """By first byte: the lengths of its tokens, and (id, score) of each."""
     t = v.__dict__.get("_bytes")
     if t is None:
-        tokens = {s.encode(): (i, v.score_of.get(s, -10.0)) for s, i in v.vocab.items() if s}
-        t = v.__dict__["_bytes"] = (tokens, max(map(len, tokens), default=0))
+        t = {}
+        for token, i in sorted(((s.encode(), i) for s, i in v.vocab.items() if s), key=lambda x: len(x[0])):
+            t.setdefault(token[0], []).append((len(token), token, i, f32(v.score_of.get(token.decode(), -10.0))))
+        t = v.__dict__["_bytes"] = {first: _trie(tokens) for first, tokens in t.items()}
     return t
 
 
+def _trie(tokens: list[tuple[int, bytes, int, float]]) -> tuple[list, dict]:
+    """(lengths there are, {bytes: (id, score)}) of tokens of one first byte."""
+    return sorted({n for n, *_ in tokens}), {b: (i, s) for _, b, i, s in tokens}
+
+
+_round = struct.Struct("f")
+
+
 def unigram(word: str, v: Vocabulary) -> list[int]:
     """Best path over bytes in 32-bit sums; a tie keeps the earlier start, an unknown byte costs 10."""
-    import numpy as np
-
     raw = word.encode()
     n = len(raw)
-    tokens, longest = _byte_tokens(v)
+    tokens = _byte_tokens(v)
     unk = v.unknown(UNIGRAM_UNKNOWN)
     best: list = [None] * (n + 1)
     back: list = [None] * (n + 1)
-    best[0] = np.float32(0)
+    best[0] = 0.0
+    pack, unpack = _round.pack, _round.unpack
     for i in range(n):
-        edges = [(e, *tokens[raw[i:e]]) for e in range(i + 1, min(n, i + longest) + 1) if raw[i:e] in tokens]
-        if not edges and unk is not None:
-            edges = [(i + 1, unk, -10.0)]
-        if best[i] is None:
+        at = best[i]
+        if at is None:
             continue
-        for e, ident, score in edges:
-            s = best[i] + np.float32(f32(score))
+        lengths, known = tokens.get(raw[i], ((), {}))
+        some = False
+        for k in lengths:
+            e = i + k
+            if e > n:
+                break
+            hit = known.get(raw[i:e])
+            if hit is not None:
+                some = True
+                s = unpack(pack(at + hit[1]))[0]
+                if best[e] is None or s > best[e]:
+                    best[e], back[e] = s, (i, hit[0])
+        if not some and unk is not None:
+            s, e = unpack(pack(at - 10.0))[0], i + 1
             if best[e] is None or s > best[e]:
-                best[e], back[e] = s, (i, ident)
+                best[e], back[e] = s, (i, unk)
     if best[n] is None:
         if unk is None:
             raise EncodeError(f"no path for {word!r} and no unknown token")
@@ -137,8 +200,15 @@ class Encoder:
             raise ValueError(f"mode: one of {MODES}; strategy: one of {tuple(STRATEGIES)}")
         self.v, self.mode = v, mode
         self.merge = STRATEGIES["block" if mode == "stream" else strategy]
-        self.words: dict[str, list[int]] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.hits: dict[str, tuple[int, bool]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memo: the place of each word or piece, and the ids of all one after another."""
+        self.words: dict[str, int] = {}
+        self.places: dict[str, int] = {}
+        self.starts, self.sizes, self.pool = array("q"), array("q"), array("q")
 
     def _memo(self, memo: dict, key: str, make: Callable[[str], list[int]]) -> list[int]:
         ids = memo.get(key)
@@ -148,6 +218,14 @@ class Encoder:
             ids = memo[key] = make(key)
         return ids
 
+    def _learn(self, memo: dict[str, int], word: str, make: Callable[[str], list[int]]) -> int:
+        ids = make(word)
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(ids))
+        self.pool.extend(ids)
+        memo[word] = len(self.sizes) - 1
+        return memo[word]
+
     def _word(self, word: str) -> list[int]:
         if self.v.algo == "WordPiece":
             return wordpiece(word, self.v)
@@ -176,34 +254,78 @@ class Encoder:
                 return table[k]
         return None
 
-    def encode(self, text: str) -> list[int]:
+    def _split(self, text: str):
+        """(words, their memo, what encodes one) of a text."""
         mode = self.mode
         if mode == "adaptive":
             mode = "pretoken" if len(text.encode()) >= ADAPTIVE_BYTES else "word"
         if self.v.algo != "Bpe" and mode != "bulk":
             mode = "word"  # the other algorithms have one split
         if mode == "pretoken":
-            split, memo, make = PRE.findall(text), self.pieces, self._piece
-        elif mode == "bulk":
-            split, memo, make = bulk_words(text), self.words, self._bulk
-        else:
-            split, memo, make = (BLANK if mode == "stream" else WORD).findall(text), self.words, self._word
+            return PRE.findall(text), self.places, self._piece
+        if mode == "bulk":
+            return bulk_words(text), self.words, self._bulk
+        return (BLANK if mode == "stream" else WORD).findall(text), self.words, self._word
+
+    def encode(self, text: str) -> list[int]:
+        if len(self.sizes) >= MEMO:
+            self._forget()
+        split, memo, make = self._split(text)
+        starts, sizes, pool = self.starts, self.sizes, self.pool
         out: list[int] = []
         for w in split:
-            out += memo.get(w) or self._memo(memo, w, make)
+            k = memo.get(w)
+            if k is None:
+                k = self._learn(memo, w, make)
+            out += pool[starts[k] : starts[k] + sizes[k]]
         return out
 
+    def encode_all(self, texts: list[str | None], skip_errors: bool = False):
+        """(ids one after another, where each text's begin, which texts have ids) as numpy arrays: each distinct word is encoded once."""
+        import numpy as np
+
+        if len(self.sizes) >= MEMO:
+            self._forget()
+        words: list[int] = []
+        ends, good = [0], []
+        for t in texts:
+            ok = t is not None
+            if ok:
+                split, memo, make = self._split(t)
+                found = list(map(memo.get, split))
+                if None in found:
+                    try:
+                        found = [self._learn(memo, w, make) if (k := memo.get(w)) is None else k for w in split]
+                    except EncodeError:
+                        if not skip_errors:
+                            raise
+                        ok, found = False, []
+                words += found
+            ends.append(len(words))
+            good.append(ok)
+        at = np.array(words, np.int64)
+        starts, sizes, pool = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (self.starts, self.sizes, self.pool))
+        size = sizes[at]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = pool[np.repeat(starts[at] - total[:-1], size) + np.arange(total[-1])] if len(at) else pool[:0].copy()
+        return ids, total[np.array(ends)], np.array(good, bool)
+
     def stats(self, text: str) -> tuple[int, int, int, int, int, int]:
         """total bytes, words, fast words, fast bytes, fallback words, fallback bytes of the bulk mode."""
         words = bulk_words(text)
+        if len(self.hits) >= MEMO:
+            self.hits.clear()
+        known = self.hits
         fast = fast_bytes = slow_bytes = 0
         for k in words:
-            n = len(k.encode()) - (k[0] == " ")
-            if self.hit(k) is not None:
+            h = known.get(k)
+            if h is None:
+                h = known[k] = len(k.encode()) - (k[0] == " "), self.hit(k) is not None
+            if h[1]:
                 fast += 1
-                fast_bytes += n
+                fast_bytes += h[0]
             else:
-                slow_bytes += n
+                slow_bytes += h[0]
         return len(text.encode()), len(words), fast, fast_bytes, len(words) - fast, slow_bytes
 
 

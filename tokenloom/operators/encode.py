@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +36,18 @@ def long_form(df: DataFrame, *keys: str, ids: str = "ids") -> DataFrame:
     return df.select(*keys, F.posexplode(ids).alias("pos", "token_id")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def csr(df: DataFrame, key: str, ids: str = "ids") -> DataFrame:
+def csr(df: DataFrame, key: str, ids: str = "ids", length: str | None = None) -> DataFrame:
     """(key, length, offset): where each row's ids begin when all are laid out in key order.
 
-    Offsets come from sums by key range, so no single task sees all rows: only
-    one row for each range goes through the unpartitioned window.
+    ``length`` names a column that holds the number of ids, where they aren't
+    needed themselves.  The pairs (key, length) are kept, so texts are encoded once, not
+    again for the ranges of keys.  Offsets come from sums by key range, so no single
+    task sees all rows: only one row for each range goes through the unpartitioned window.
     """
-    n = df.select(F.col(key).alias("k"), F.size(ids).cast("long").alias("length"))
-    ranged = n.repartitionByRange(F.col("k")).sortWithinPartitions("k").withColumn("part", F.spark_partition_id())
+    spark = df.sparkSession
+    n = df.select(F.col(key).alias("k"), (F.col(length) if length else F.size(ids)).cast("long").alias("length")).persist(StorageLevel.DISK_ONLY)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that ranges are the same wherever they are read
+    ranged = n.repartitionByRange(parts, F.col("k")).sortWithinPartitions("k").withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("part").agg(F.sum("length").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -50,6 +55,11 @@ def csr(df: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     return r.join(F.broadcast(bases), "part").select(F.col("k").alias(key), "length", (F.col("base") + F.col("inner")).alias("offset"))
 
 
+def counted(df: DataFrame, v: Vocabulary, text: str = "text", out: str = "n_tokens", mode: str = "word", strategy: str = "stepwise") -> DataFrame:
+    """``df`` with the number of token ids of each text; the ids don't leave the workers."""
+    return df.withColumn(out, udfs.token_counter(df.sparkSession, v, mode, strategy)(F.col(text)))
+
+
 def joined(ids: str = "ids"):
     """Ids as one string, separated by blanks."""
     return F.array_join(F.col(ids).cast("array<string>"), " ")

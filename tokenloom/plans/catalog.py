@@ -82,18 +82,19 @@ def _(spark, sf):
     return stats.pretoken_stats(docs(spark, sf, "lang"), "lang")
 
 
-@query(
-    "utf8_chunks",
-    """WITH RECURSIVE c AS (SELECT item_id, cast(sum(strlen(ch)) OVER (PARTITION BY item_id ORDER BY i) AS BIGINT) AS e
-        FROM (SELECT item_id, i, text[i] AS ch FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark))),
-    n AS (SELECT item_id, max(e) AS n, CAST(ceil(max(e) / 7.0) AS BIGINT) AS step FROM c GROUP BY item_id),
-    r AS (SELECT item_id, n, step, CAST(0 AS BIGINT) AS s, (SELECT min(e) FROM c WHERE c.item_id = n.item_id AND e >= least(step, n)) AS e FROM n
-          UNION ALL SELECT r.item_id, n, step, r.e, (SELECT min(c.e) FROM c WHERE c.item_id = r.item_id AND c.e >= least(r.e + step, n)) FROM r WHERE r.e < n)
-    SELECT item_id, s AS start_byte, e AS end_byte FROM r""",
-)
+CHUNKS = 7
+_UTF8 = f"""n AS (SELECT doc_id, text, CAST(strlen(text) AS BIGINT) AS n FROM documents),
+    p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, '') AS w FROM n WHERE n > 0)),
+    b AS (SELECT doc_id, CAST(sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM p),
+    l AS (SELECT doc_id, list(e ORDER BY e) AS ends FROM b GROUP BY doc_id),
+    j AS (SELECT n.doc_id, n, CAST(ceil(n / {CHUNKS}.0) AS BIGINT) AS step, coalesce(ends, [0]) AS ends FROM n LEFT JOIN l ON l.doc_id = n.doc_id),
+    r AS (SELECT doc_id, n, step, ends, CAST(0 AS BIGINT) AS s, list_min(list_filter(ends, lambda e: e >= least(step, n))) AS e FROM j
+          UNION ALL SELECT doc_id, n, step, ends, r.e, list_min(list_filter(ends, lambda x: x >= least(r.e + step, n))) FROM r WHERE r.e < n)"""
+
+
+@query("utf8_chunks", f"WITH RECURSIVE {_UTF8} SELECT doc_id, s AS start_byte, e AS end_byte FROM r")
 def _(spark, sf):
-    b = spark.read.parquet(f"{sf}/benchmark.parquet")
-    return b.select("item_id", F.explode(udfs.utf8_chunks(7)(F.col("text"))).alias("s")).select("item_id", "s.start_byte", "s.end_byte")
+    return docs(spark, sf).select("doc_id", F.explode(udfs.utf8_chunks(CHUNKS)(F.col("text"))).alias("s")).select("doc_id", "s.start_byte", "s.end_byte")
 
 
 @query(
@@ -229,12 +230,12 @@ def _(spark, sf):
 
 _STEP = f"""WITH {_STATES}, x AS (SELECT state, substr(state, 2 * k + 1) AS suffix FROM (SELECT state, unnest(range(1, length(state) // 2)) AS k FROM s)),
     f AS (SELECT x.state, arg_max(suffix, length(suffix)) AS fail FROM x JOIN s ON s.state = suffix GROUP BY x.state),
-    p AS (SELECT state, b FROM (SELECT '' AS state UNION ALL SELECT state FROM s) CROSS JOIN (VALUES (101), (104), (110), (0)) v(b))"""
+    p AS (SELECT state, b FROM (SELECT '' AS state UNION ALL SELECT state FROM s) CROSS JOIN (SELECT CAST(b AS INTEGER) AS b FROM range(256) v(b)))"""
 
 
 def _steps(spark):
     states = tables.trie_states(vocab(spark, Z.TRIE)).select("state").union(spark.createDataFrame([("",)], "state string"))
-    return states.select("state", F.explode(F.array(*[F.lit(b).cast("long") for b in (101, 104, 110, 0)])).alias("byte"))
+    return states.select("state", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("byte"))
 
 
 @query("transitions", _STEP + " SELECT p.state, CAST(b AS BIGINT) AS byte, coalesce(s.state, 'none') AS next FROM p LEFT JOIN s ON s.state = p.state || printf('%02X', b)")
@@ -253,12 +254,16 @@ def _(spark, sf):
     return parts[0].union(parts[1])
 
 
-@query("engine_pre", f"SELECT item_id, CAST(len(regexp_extract_all(text, '{T.PRE}')) AS BIGINT) AS n FROM benchmark")
+@query(
+    "engine_pre",
+    f"""WITH RECURSIVE {_UTF8} SELECT r.doc_id, CAST(sum(len(regexp_extract_all(substr(text, coalesce(list_position(ends, s), 0) + 1, list_position(ends, e) - coalesce(list_position(ends, s), 0)), '{T.PRE}'))) AS BIGINT) AS n
+    FROM r JOIN n USING (doc_id) GROUP BY r.doc_id""",
+)
 def _(spark, sf):
-    """Pretokens counted over chunks that end behind blanks, so that no chunk cuts one."""
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text", F.explode(udfs.blank_chunks(4)(F.col("text"))).alias("s"))
+    """Pretokens counted over chunks of equal size, whose borders cut words."""
+    b = docs(spark, sf).select("doc_id", "text", F.explode(udfs.utf8_chunks(CHUNKS)(F.col("text"))).alias("s"))
     part = F.encode("text", "utf-8").substr(F.col("s.start_byte") + 1, F.col("s.end_byte") - F.col("s.start_byte")).cast("string")
-    return b.select("item_id", F.size(T.pretokens(part)).cast("long").alias("n")).groupBy("item_id").agg(F.sum("n").alias("n"))
+    return b.select("doc_id", F.size(T.pretokens(part)).cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 # Encoders
@@ -378,14 +383,9 @@ def _unigram_rows():
     return [(t, i, len(t.encode()), Z.UNIGRAM.score_of.get(t, -10.0)) for t, i in Z.UNIGRAM.vocab.items()]
 
 
-@query("unigram")
-def _(spark, sf):
-    return _encoded(spark, sf, Z.UNIGRAM)
-
-
 @query(
-    "unigram_benchmark",
-    f"""WITH RECURSIVE v AS {Z.values(_unigram_rows(), 'token, token_id, bytes, score')}, d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{T.WORD}')) AS word FROM benchmark),
+    "unigram",
+    f"""WITH RECURSIVE v AS {Z.values(_unigram_rows(), 'token, token_id, bytes, score')}, d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{T.WORD}')) AS word FROM documents),
     edges AS MATERIALIZED (SELECT word, i, i + length(token) AS j, CAST(token_id AS VARCHAR) AS ids, 1 AS n, CAST(score AS DOUBLE) AS score FROM (SELECT word, unnest(range(0, length(word))) AS i FROM d) JOIN v ON starts_with(substr(word, i + 1), token)),
     gaps AS (SELECT word, i, i + 1 AS j, array_to_string(list_transform(range(strlen(substr(word, i + 1, 1))), lambda x: '0'), ' ') AS ids, strlen(substr(word, i + 1, 1)) AS n, -10.0 * strlen(substr(word, i + 1, 1)) AS score
              FROM (SELECT word, unnest(range(0, length(word))) AS i FROM d) p WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.word = p.word AND x.i = p.i)),
@@ -394,12 +394,11 @@ def _(spark, sf):
       UNION ALL SELECT r.word, r.done + 1, list_append(r.best, (SELECT {{'s': r.best[g.i + 1].s + g.score, 'ids': trim(r.best[g.i + 1].ids || ' ' || g.ids), 'n': CAST(r.best[g.i + 1].n + g.n AS BIGINT)}}
                 FROM g WHERE g.word = r.word AND g.j = r.done + 1 ORDER BY r.best[g.i + 1].s + g.score DESC, g.i LIMIT 1)) FROM r WHERE r.done < length(r.word)),
     e AS (SELECT word, best[-1].ids AS ids, best[-1].n AS n FROM r WHERE done = length(word))
-    SELECT item_id, coalesce(string_agg(ids, ' ' ORDER BY i), '') AS ids, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens
-    FROM (SELECT item_id, i, w[i] AS w FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '{T.WORD}') AS w FROM benchmark))) JOIN e ON e.word = w GROUP BY item_id""",
+    SELECT doc_id, coalesce(string_agg(ids, ' ' ORDER BY i), '') AS ids, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens
+    FROM (SELECT doc_id, i, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{T.WORD}') AS w FROM documents))) JOIN e ON e.word = w GROUP BY doc_id""",
 )
 def _(spark, sf):
-    b = E.encode(spark.read.parquet(f"{sf}/benchmark.parquet"), Z.UNIGRAM)
-    return b.select("item_id", E.joined().alias("ids"), F.size("ids").cast("long").alias("n_tokens"))
+    return _encoded(spark, sf, Z.UNIGRAM)
 
 
 @query("initial_tokens", f"SELECT coalesce(token_id, 0) AS token_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(w, '')) AS c FROM (SELECT unnest(regexp_extract_all(text, '{T.WORD}')) AS w FROM documents)) GROUP BY c) LEFT JOIN (SELECT token, CAST(token_id AS BIGINT) AS token_id FROM {Z.vocab_sql(Z.BPE)}) v ON v.token = c GROUP BY 1")
@@ -410,12 +409,12 @@ def _(spark, sf):
 
 @query("encode_batch_csr", f"SELECT doc_id, n_tokens AS length, CAST(sum(n_tokens) OVER (ORDER BY doc_id) - n_tokens AS BIGINT) AS \"offset\" FROM ({_WORD_SQL})")
 def _(spark, sf):
-    return E.csr(E.encode(docs(spark, sf), Z.BPE), "doc_id")
+    return E.csr(E.counted(docs(spark, sf), Z.BPE), "doc_id", length="n_tokens")
 
 
 @query("token_counts", f"SELECT lang, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM ({_WORD_SQL}) JOIN documents USING (doc_id) GROUP BY lang")
 def _(spark, sf):
-    n = E.encode(docs(spark, sf, "lang"), Z.BPE).select("lang", F.size("ids").cast("long").alias("n"))
+    n = E.counted(docs(spark, sf, "lang"), Z.BPE, out="n").select("lang", "n")
     return n.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
@@ -425,9 +424,9 @@ def _(spark, sf):
     return t.orderBy(F.desc("n"), "token_id").limit(20)
 
 
-@query("tokens_long", f"SELECT item_id, CAST(i - 1 AS BIGINT) AS pos, CAST(w[i] AS BIGINT) AS token_id FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, string_split(ids, ' ') AS w FROM ({_WORD_SQL.replace('documents', 'benchmark').replace('doc_id', 'item_id')}) WHERE ids <> ''))")
+@query("tokens_long", f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, CAST(w[i] AS BIGINT) AS token_id FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(ids, ' ') AS w FROM ({_WORD_SQL}) WHERE ids <> ''))")
 def _(spark, sf):
-    return E.long_form(E.encode(spark.read.parquet(f"{sf}/benchmark.parquet"), Z.BPE), "item_id")
+    return E.long_form(E.encode(docs(spark, sf), Z.BPE), "doc_id")
 
 
 @query(
