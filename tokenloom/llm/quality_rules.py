@@ -76,9 +76,8 @@ def judge(df: DataFrame, text: str = "text", out: str = "quality", *, min_words:
     names = [c for c in df.columns if c != out]
     own = [f"c{i}" for i in range(len(names))]  # no name of the input can clash
     t = F.coalesce(F.col("_tl_text"), F.lit(""))
-    low = F.lower(t)
-    cored = reduce(lambda a, b: a | b, (F.contains(low, F.lit(c)) for c in CORES))
-    a = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], F.col(f"`{text}`").alias("_tl_text"))
+    cored = reduce(lambda a, b: a | b, (F.contains("_tl_low", F.lit(c)) for c in CORES))
+    a = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], F.col(f"`{text}`").alias("_tl_text"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_tl_low"))
     a = a.select(
         *own, _words(t).alias("_tl_w"), F.split(t, "\n").alias("_tl_l"), _count(t, SYMBOLS).cast("long").alias("_tl_s"),
         t.rlike(RUNS).alias("_tl_f"), t.rlike(SEPARATORS).alias("_tl_m"), cored.alias("_tl_b"),
