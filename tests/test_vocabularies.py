@@ -68,3 +68,19 @@ def test_public_vocabulary_against_its_own_library():
     own = tokenizers.Tokenizer.from_file(path)
     assert len(v) >= 49_000 and v.algo == "Bpe"
     assert len(own.encode("hello").ids) >= 1
+
+
+@pytest.mark.parametrize(
+    "load, content",
+    [
+        (S.load_hf, b'{"model": {"type": "BPE", "vocab": {"a": 0}, "merges": [5]}}'),
+        (S.load_hf, b'{"model": {"type": "Unigram", "vocab": {"a": 0}, "vocab_scores": [["a", "x"]]}}'),
+        (S.load_gguf_json, b'{"tokens": ["a"], "merges": [7]}'),
+        (S.load_gguf_json, b'{"tokens": [["a"]], "scores": ["x"]}'),
+        (S.load_compiled, S.COMPILED + b"\x01\x00\x00\x00{}"),
+        (S.load_compiled, S.COMPILED + b"\x01\x00\x00\x00[]"),
+    ],
+)
+def test_malformed_files_are_value_errors(load, content):
+    with pytest.raises(ValueError):
+        load(content)

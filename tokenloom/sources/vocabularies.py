@@ -7,6 +7,7 @@ get it as tables or as a broadcast.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import struct
 from collections.abc import Callable
@@ -74,6 +75,22 @@ def _json(content: bytes | str):
         raise VocabularyError(f"not JSON: {e}") from e
 
 
+def _malformed(f):
+    """``f``, with every error of a file of another shape as a VocabularyError."""
+
+    @functools.wraps(f)
+    def run(content):
+        try:
+            return f(content)
+        except VocabularyError:
+            raise
+        except (TypeError, KeyError, ValueError, AttributeError, IndexError) as e:
+            raise VocabularyError(f"malformed vocabulary: {e!r}") from e
+
+    return run
+
+
+@_malformed
 def load_hf(content: bytes | str) -> Vocabulary:
     """A JSON file with ``model``: BPE, WordPiece or Unigram over a map of tokens."""
     root = _json(content)
@@ -93,6 +110,7 @@ def load_hf(content: bytes | str) -> Vocabulary:
     return Vocabulary(algo, dict(m["vocab"]), tuple(merges), scores, m.get("continuing_subword_prefix")).validate()
 
 
+@_malformed
 def load_sentencepiece_json(content: bytes | str) -> Vocabulary:
     """A list of {piece, score}: ids are places, the last of equal pieces wins."""
     root = _json(content)
@@ -101,6 +119,7 @@ def load_sentencepiece_json(content: bytes | str) -> Vocabulary:
     return Vocabulary("Unigram", {x["piece"]: i for i, x in enumerate(root)}, (), tuple((x["piece"], float(x["score"])) for x in root)).validate()
 
 
+@_malformed
 def load_gguf_json(content: bytes | str) -> Vocabulary:
     """{tokens, scores, merges}: BPE if there are merges, else Unigram; a missing score is 0."""
     root = _json(content)
@@ -209,6 +228,7 @@ def load_sentencepiece_proto(content: bytes) -> Vocabulary:
     return Vocabulary("Unigram", vocab, (), tuple(scores)).validate()
 
 
+@_malformed
 def load_compiled(content: bytes) -> Vocabulary:
     """Magic, version 1 as a little-endian 32-bit number, JSON."""
     if len(content) < 8:
