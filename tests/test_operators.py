@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import sys
 
 import pytest
@@ -130,3 +131,25 @@ def test_streaming(spark, tmp_path):
     assert got == {("a", 0): [], ("a", 1): [4], ("a", 2): [3], ("b", 0): [], ("b", 1): [], ("b", 2): [5, 0]}
     batch = streaming.encode_stream(spark.createDataFrame([r for p in parts for r in p], schema), low)
     assert {(r[0], r[1]): r[2] for r in batch.collect()} == got
+
+
+def test_only_in_one(spark):
+    """As EXCEPT ALL either way, with repeated rows and nulls; rows that agree are not shuffled."""
+    rows = [(1, [1, 2], [1, 2]), (2, [1], [3]), (2, [1], [3]), (2, [3], [1]), (3, None, [4]), (4, None, None), (5, [], [5]), (5, [5], [])]
+    df = spark.createDataFrame(rows, "id long, a array<bigint>, b array<bigint>")
+    a, b = (df.select("id", E.joined(c).alias("ids")) for c in "ab")
+    want = a.exceptAll(b).withColumn("side", F.lit("l")).union(b.exceptAll(a).withColumn("side", F.lit("r")))
+    got = stats.only_in_one(df, "a", "b", "id", sides=("l", "r"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_conformance_diff_shuffles_no_equal_rows(spark):
+    from tokenloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no supplied tables")
+    plan = catalog.QUERIES["conformance_diff"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("ArrowEvalPython") == 1

@@ -29,6 +29,20 @@ def pretoken_stats(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return g.select(*keys, "n_pretokens", "max_bytes", F.when(F.col("n_pretokens") == 0, 0.0).otherwise(F.col("total") / F.col("n_pretokens")).alias("avg_bytes"))
 
 
+def only_in_one(df: DataFrame, a: str, b: str, *keys: str, sides: tuple[str, str]) -> DataFrame:
+    """(keys, ids, side): EXCEPT ALL of the rows (keys, a) and (keys, b), either way.
+
+    Where a row's two arrays are equal it counts on both sides and cancels out, so only
+    the others are grouped: nothing is shuffled where the sides agree.  They come from
+    the generator; a filter would be pushed down and encode what it keeps again.
+    """
+    sign = lambda x, n: F.struct(F.array_join(F.col(x).cast("array<string>"), " ").alias("ids"), F.lit(n).cast("long").alias("n"))
+    rows = df.select(*keys, F.explode(F.when(~F.col(a).eqNullSafe(F.col(b)), F.array(sign(a, 1), sign(b, -1)))).alias("s"))
+    left = rows.groupBy(*keys, F.col("s.ids").alias("ids")).agg(F.sum("s.n").alias("n")).filter("n <> 0")
+    side = F.when(F.col("n") > 0, sides[0]).otherwise(sides[1])
+    return left.select(*keys, "ids", side.alias("side"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("i")).drop("i")
+
+
 def upper_median(values: list[float]) -> float:
     """The middle of the sorted values, the upper one of two."""
     return sorted(values)[len(values) // 2]

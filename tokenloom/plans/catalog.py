@@ -359,9 +359,8 @@ def _(spark, sf):
 @query("conformance_diff", "SELECT CAST(0 AS BIGINT) AS doc_id, '' AS ids, '' AS side WHERE false")
 def _(spark, sf):
     """Rows that only one of the two merge implementations gives."""
-    a = E.encode(docs(spark, sf), Z.BPE).select("doc_id", E.joined().alias("ids"))
-    b = E.encode_native(docs(spark, sf), Z.BPE).select("doc_id", E.joined().alias("ids"))
-    return a.exceptAll(b).withColumn("side", F.lit("kernel")).union(b.exceptAll(a).withColumn("side", F.lit("native")))
+    both = E.encode_native(E.encode(docs(spark, sf), Z.BPE, out="a"), Z.BPE, out="b")
+    return stats.only_in_one(both.select("doc_id", "a", "b"), "a", "b", "doc_id", sides=("kernel", "native"))
 
 
 _WP = f"""WITH RECURSIVE v AS {Z.vocab_sql(Z.WORDPIECE)}, d AS ({_distinct(T.WORD)}), longest AS (SELECT max(length(token)) AS n FROM v),
