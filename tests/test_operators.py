@@ -153,3 +153,15 @@ def test_conformance_diff_shuffles_no_equal_rows(spark):
         pytest.skip("no supplied tables")
     plan = catalog.QUERIES["conformance_diff"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_native_takes_any_text(spark):
+    """Control characters, blanks of all kinds, characters beyond 16 bits, unknown ones that are a real token: as the kernel has it."""
+    ab = Vocabulary("Bpe", {"a": 0, "b": 1, "ab": 2}, (("a", "b"),))
+    wide = Vocabulary("Bpe", {"<unk>": 9, "t": 3, "h": 4, "th": 5, "語": 6, "t語": 7, "$": 8, "\\": 10, "$\\": 11, "]": 12, "^": 13, "-": 14}, (("t", "h"), ("t", "語"), ("$", "\\")))
+    many = ["t\x01h\x02th", "\x02\x01 \x03th\x00e", "the　then\x85on  in\r\n", " ", "", "𝄞th𝄞e éthé", "t語th語 $\\ ]^-$$\\\\", "xb ab\tb", "th" * 5000, "aaaa", None]
+    df = spark.createDataFrame(list(enumerate(many)), "id long, text string")
+    for v in (Z.BPE, ab, wide):
+        e = Tokenizer(v, "word")
+        got = {r["id"]: r["ids"] for r in E.encode_native(df, v).collect()}
+        assert got == {i: None if t is None else e.encode(t) for i, t in enumerate(many)}

@@ -9,6 +9,8 @@ PRE = r"[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]+|[\x{00}-\x{08}\x{0E}-\x{1F}!-/:-@\[-`{
 WORD = r"[^\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 #: The same in Java's syntax with printable ASCII first, which spares most characters the rest of the class.
 WORD_FAST = r"[!-~" + WORD[:-1] + "]+"
+#: What stands between them.
+WHITE = "[" + WORD[2:]
 BLANK = r"[^ \n\t\r]+"
 BULK = r" ?[^ \n\t\r]+"
 CLASSES = {

@@ -6,8 +6,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import kernels
+from ..functions import text as T
 from ..functions import udfs
-from ..ir import Vocabulary
+from ..ir import BPE_UNKNOWN, Vocabulary
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -65,21 +67,46 @@ def joined(ids: str = "ids"):
     return F.array_join(F.col(ids).cast("array<string>"), " ")
 
 
-def encode_native(df: DataFrame, v: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """BPE by built-in functions alone: every merge, in rank order, replaces its pair in the marked word.
+def _symbols(v: Vocabulary) -> tuple[dict[str, str], list[tuple[str, str]], str, dict[str, int]]:
+    """(characters with an id, replacements in rank order, the unknown symbol, id of each symbol) of a BPE vocabulary.
 
-    For well-formed merge lists of some tens of rules (parts are characters or
-    results of earlier rules) and texts without the characters 1 and 2.
+    A token's symbol is one character: its own, or one that no token and no white space is.
     """
-    from ..functions import text as T
+    own = {t: t for t in v.vocab if len(t) == 1 and kernels.WORD.fullmatch(t)}
+    free = (c for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))) if c not in own and c not in "$\\" and kernels.WORD.fullmatch(c))
+    symbols, steps = dict(own), []
+    for a, b in sorted(v.ranks, key=v.ranks.get):
+        if a in symbols and b in symbols and a + b in v.vocab:
+            if a + b not in symbols:
+                symbols[a + b] = next(free)
+            steps.append((symbols[a] + symbols[b], symbols[a + b]))
+    unk = v.unknown(BPE_UNKNOWN) or 0
+    ids = {c: v.vocab[t] for t, c in symbols.items()}
+    unknown = next((c for c, i in ids.items() if i == unk), None) or next(free)  # a real token's id: it merges like that token
+    return own, steps, unknown, ids | {unknown: unk}
 
-    merges = F.array(*[F.struct(F.lit(f"\x01{a}\x02\x01{b}\x02").alias("f"), F.lit(f"\x01{a}{b}\x02").alias("t")) for a, b in v.merges])
-    ids = F.create_map(*[x for t, i in v.vocab.items() for x in (F.lit(t), F.lit(i).cast("long"))])
-    unk = next((v.vocab[n] for n in ("<unk>", "[UNK]", "<|endoftext|>") if n in v.vocab), 0)
 
-    def word(w):
-        marked = F.regexp_replace(w, "(?s)(.)", "\x01$1\x02")
-        done = F.aggregate(merges, marked, lambda acc, m: F.replace(acc, m["f"], m["t"])) if v.merges else marked
-        return F.transform(F.regexp_extract_all(done, F.lit("(?s)\x01([^\x02]*)\x02"), F.lit(1)), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit(unk).cast("long")))
+def encode_native(df: DataFrame, v: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
+    """BPE by built-in functions alone: every merge, in rank order, replaces its pair of symbols in the whole text.
 
-    return df.withColumn(out, F.flatten(F.transform(T.words(F.col(text)), word)))
+    White space becomes one blank between words and any character without an id the
+    unknown symbol before pairs are looked for, so a text can hold any characters and no pair reaches
+    over two words.  The time is the text's length for each merge, however long its words.
+    For well-formed merge lists of some tens of rules (parts are characters or
+    results of earlier rules).
+    """
+    own, steps, unknown, ids = _symbols(v)
+    x = F.regexp_replace(F.col(text), T.WHITE, " ")
+    x = F.regexp_replace(x, "[^ " + "".join(f"\\x{{{ord(c):x}}}" for c in own) + "]", unknown if unknown not in "$\\" else "\\" + unknown)
+    for pair, merged in steps:
+        x = F.replace(x, F.lit(pair), F.lit(merged))
+    letters = F.array_remove(F.split(F.replace(x, F.lit(" "), F.lit("")), ""), "")
+    long = lambda i: F.lit(i).cast("long")
+    top = max(map(ord, ids))
+    if top < 2048:
+        table = F.array(*[long(ids.get(chr(i), 0)) for i in range(top + 1)])
+        found = F.transform(letters, lambda c: F.get(table, F.ascii(c)))
+    else:
+        table = F.create_map(*[y for c, i in ids.items() for y in (F.lit(c), long(i))])
+        found = F.transform(letters, lambda c: F.try_element_at(table, c))
+    return df.withColumn(out, found)
