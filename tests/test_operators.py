@@ -8,7 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom import Tokenizer, Vocabulary
+from tokenloom import Tokenizer, Vocabulary, kernels
 from tokenloom import __main__ as cli
 from tokenloom.functions import text as T
 from tokenloom.functions import udfs
@@ -165,3 +165,14 @@ def test_native_takes_any_text(spark):
         e = Tokenizer(v, "word")
         got = {r["id"]: r["ids"] for r in E.encode_native(df, v).collect()}
         assert got == {i: None if t is None else e.encode(t) for i, t in enumerate(many)}
+
+
+def test_slices_bound_what_a_worker_holds(monkeypatch):
+    """Rows come in order and whole, few bytes at a time; one long text is a slice of its own."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(udfs, "SLICE_BYTES", 10)
+    texts = ["abc", None, "éé", "", "x" * 50, None, "defghij", "klm", "nopqrstuvw", "z"]
+    got = [s.to_pylist() for s in udfs._slices(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts).slice(6)]))]
+    assert [t for s in got for t in s] == texts + texts[6:]
+    assert all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= 10 for s in got) and len(got) == 8

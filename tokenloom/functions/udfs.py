@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,22 @@ from .. import kernels
 from ..ir import Vocabulary
 
 SPANS = "array<struct<start_byte:bigint,end_byte:bigint>>"
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of all batches in order, so many at a time as have ``SLICE_BYTES`` of text, one at least.
+
+    What Python makes of a text is many times its size, and a batch has up to 10,000
+    texts: taken at once, it would set the worker's memory.  Spark counts rows, not batches.
+    """
+    for s in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(s), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(s):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield s.slice(at, to - at)
+            at = to
 
 
 def encoder(spark: SparkSession, v: Vocabulary, mode: str = "word", strategy: str = "stepwise", on_error: str = "raise") -> Callable[[Column], Column]:
@@ -29,7 +46,7 @@ def encoder(spark: SparkSession, v: Vocabulary, mode: str = "word", strategy: st
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = kernels.Encoder(known.value, mode, strategy)
-        for s in batches:
+        for s in _slices(batches):
             ids, begins, good = e.encode_all(s.to_pylist(), on_error == "null")
             yield pa.ListArray.from_arrays(pa.array(begins.astype("int32")), pa.array(ids), mask=None if good.all() else pa.array(~good))
 
@@ -42,7 +59,7 @@ def token_counter(spark: SparkSession, v: Vocabulary, mode: str = "word", strate
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = kernels.Encoder(known.value, mode, strategy)
-        for s in batches:
+        for s in _slices(batches):
             _, begins, good = e.encode_all(s.to_pylist())
             yield pa.array(begins[1:] - begins[:-1], pa.int64(), mask=~good)
 
@@ -64,7 +81,7 @@ def bulk_stats(spark: SparkSession, v: Vocabulary) -> Callable[[Column], Column]
 
 def _spans(f: Callable[[bytes], list[tuple[int, int]]]) -> Callable[[Column], Column]:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for s in batches:
+        for s in _slices(batches):
             found = [None if t is None else f(t.encode()) for t in s.to_pylist()]
             flat = np.array([x for spans in found for x in spans or ()], np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *(len(x or ()) for x in found)]).astype(np.int32)
@@ -91,7 +108,7 @@ def byte_sum() -> Callable[[Column], Column]:
     """text -> the sum of its bytes modulo 2**32."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for s in batches:
+        for s in _slices(batches):
             yield pa.array([None if t is None else int(np.frombuffer(t.encode(), np.uint8).sum(dtype=np.uint64)) & 0xFFFFFFFF for t in s.to_pylist()], pa.int64())
 
     return F.arrow_udf(run, "long")
