@@ -93,7 +93,14 @@ def _spans(f: Callable[[bytes], list[tuple[int, int]]]) -> Callable[[Column], Co
 
 def pretoken_spans() -> Callable[[Column], Column]:
     """text -> byte spans of its pretokens."""
-    return _spans(lambda raw: [m.span() for m in kernels.PRE_BYTES.finditer(raw)])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in _slices(batches):
+            starts, ends, begins = kernels.pretoken_spans([t.encode() if t is not None else b"" for t in s.to_pylist()])
+            rows = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], names=["start_byte", "end_byte"])
+            yield pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), rows, mask=pc.is_null(s))
+
+    return F.arrow_udf(run, SPANS)
 
 
 def utf8_chunks(n: int) -> Callable[[Column], Column]:
