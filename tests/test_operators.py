@@ -176,3 +176,19 @@ def test_slices_bound_what_a_worker_holds(monkeypatch):
     got = [s.to_pylist() for s in udfs._slices(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts).slice(6)]))]
     assert [t for s in got for t in s] == texts + texts[6:]
     assert all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= 10 for s in got) and len(got) == 8
+
+
+def test_every_text_function_takes_slices(spark, monkeypatch):
+    """The same rows whatever the slice; no function takes a batch at once."""
+    import inspect
+
+    source = inspect.getsource(udfs)
+    assert source.count("in _slices(batches)") == source.count("def run(batches") == 6 and "in batches:" not in source.replace(inspect.getsource(udfs._slices), "")
+    texts = ["then, there 5é " * 9, None, "", " \t", "x", "Ünits—the 1st", None]
+    df = spark.createDataFrame([(i, texts[i % 7]) for i in range(700)], "id long, text string").coalesce(1)
+    monkeypatch.setattr(udfs, "SLICE_BYTES", 10)
+    spans = {r["id"]: None if r["s"] is None else [tuple(x) for x in r["s"]] for r in df.withColumn("s", udfs.pretoken_spans()(F.col("text"))).collect()}
+    assert spans == {i: None if (t := texts[i % 7]) is None else [m.span() for m in kernels.PRE_BYTES.finditer(t.encode())] for i in range(700)}
+    e = kernels.Encoder(Z.BULK, "bulk")
+    want = [sum(x) for x in zip(*(e.stats(texts[i % 7] or "") for i in range(700)))]
+    assert list(stats.bulk_stats(df, Z.BULK).first())[:6] == want

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
@@ -71,12 +70,13 @@ def bulk_stats(spark: SparkSession, v: Vocabulary) -> Callable[[Column], Column]
     names = ("total_bytes", "total_words", "fast_words", "fast_bytes", "fallback_words", "fallback_bytes")
     known = spark.sparkContext.broadcast(v)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = kernels.Encoder(known.value, "bulk")
-        for s in batches:
-            yield pd.DataFrame([e.stats(t or "") for t in s], columns=list(names), dtype="int64")
+        for s in _slices(batches):
+            counts = np.array([e.stats(t or "") for t in s.to_pylist()], np.int64)
+            yield pa.StructArray.from_arrays([pa.array(c.copy()) for c in counts.T], names=list(names))
 
-    return F.pandas_udf(run, ", ".join(f"{n} long" for n in names))
+    return F.arrow_udf(run, "struct<" + ",".join(f"{n}:bigint" for n in names) + ">")
 
 
 def _spans(f: Callable[[bytes], list[tuple[int, int]]]) -> Callable[[Column], Column]:
