@@ -149,3 +149,21 @@ def test_tokenizer(tmp_path):
         Vocabulary("Unigram", {}, scores=(("a", 0.0),)).validate()
     with pytest.raises(VocabularyError):
         Vocabulary("Bpe", {"a": 2**32}).validate()
+
+
+@pytest.mark.parametrize("mode, v", [*((m, Z.BULK) for m in K.MODES), ("word", Z.UNIGRAM), ("word", Z.WORDPIECE)])
+def test_memo_is_bounded_in_characters(monkeypatch, mode, v):
+    """Few words, but long ones: a memo bounded by their number alone would hold all of the input."""
+    monkeypatch.setattr(K, "MEMO_CHARS", 2000, raising=False)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("theraion") for _ in range(400)) for _ in range(60)]
+    e = K.Encoder(v, mode)
+    own = [K.Encoder(v, mode).encode(t) for t in texts]
+    for t, ids in zip(texts, own):
+        got, begins, good = e.encode_all([t, None, t])
+        assert got.tolist() == ids * 2 and begins.tolist() == [0, len(ids), len(ids), 2 * len(ids)] and good.tolist() == [True, False, True]
+        assert e.encode(t) == ids
+        if v.algo == "Bpe":
+            e.stats(t)
+        held = sum(map(len, [*e.words, *e.places])) + len(e.pool)
+        assert held <= 2000 + 3 * 400 and sum(map(len, e.pieces)) <= 2000 + 400 and sum(map(len, e.hits)) <= 2000 + 400
