@@ -167,3 +167,12 @@ def test_memo_is_bounded_in_characters(monkeypatch, mode, v):
             e.stats(t)
         held = sum(map(len, [*e.words, *e.places])) + len(e.pool)
         assert held <= 2000 + 3 * 400 and sum(map(len, e.pieces)) <= 2000 + 400 and sum(map(len, e.hits)) <= 2000 + 400
+
+
+def test_count_all():
+    e = K.Encoder(Z.BPE)
+    texts = ["then the then", None, "", "other then"]
+    want = [i for t in texts if t for i in K.Encoder(Z.BPE).encode(t)]
+    ids, n = e.count_all(texts)
+    assert dict(zip(ids.tolist(), n.tolist())) == {i: want.count(i) for i in want}
+    assert [x.tolist() for x in e.count_all([None, ""])] == [[], []]

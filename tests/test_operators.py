@@ -192,3 +192,28 @@ def test_every_text_function_takes_slices(spark, monkeypatch):
     e = kernels.Encoder(Z.BULK, "bulk")
     want = [sum(x) for x in zip(*(e.stats(texts[i % 7] or "") for i in range(700)))]
     assert list(stats.bulk_stats(df, Z.BULK).first())[:6] == want
+
+
+def test_token_frequencies(spark, monkeypatch):
+    """As by counting the rows of all ids, whatever the slice; null and empty texts count nothing; workers send counts, not ids."""
+    texts = ["then, there 5é " * 9, None, "", " \t", "x", "Ünits—the 1st", None]
+    df = spark.createDataFrame([(i, texts[i % 7]) for i in range(700)], "id long, text string").coalesce(2)
+    for size in (10, 1 << 20):
+        monkeypatch.setattr(udfs, "SLICE_BYTES", size)
+        for v, mode in ((Z.BPE, "word"), (Z.BPE, "adaptive"), (Z.BULK, "bulk"), (Z.UNIGRAM, "word")):
+            want = E.encode(df, v, mode=mode).select(F.explode("ids").alias("token_id")).groupBy("token_id").count()
+            got = stats.token_frequencies(df, v, mode=mode)
+            assert dict(map(tuple, got.collect())) == dict(map(tuple, want.collect())) != {}
+    assert stats.token_frequencies(df.filter("text is null"), Z.BPE).collect() == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_token_frequency_top_sends_no_ids(spark):
+    from tokenloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no supplied tables")
+    plan = catalog.QUERIES["token_frequency_top"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "array<bigint>" not in plan

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import kernels
 from ..functions import text as T
 from ..functions import udfs
 from ..ir import Vocabulary
@@ -29,6 +33,22 @@ def pretoken_stats(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return g.select(*keys, "n_pretokens", "max_bytes", F.when(F.col("n_pretokens") == 0, 0.0).otherwise(F.col("total") / F.col("n_pretokens")).alias("avg_bytes"))
 
 
+def token_frequencies(df: DataFrame, v: Vocabulary, text: str = "text", mode: str = "word", strategy: str = "stepwise") -> DataFrame:
+    """(token_id, n): how often each id occurs in all texts.
+
+    Workers count, a slice of the texts at a time, so neither ids nor a row for each leave them.
+    """
+    kernels.Encoder(v, mode, strategy)
+    known = df.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = kernels.Encoder(known.value, mode, strategy)
+        for s in udfs._slices(b.column(0) for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in e.count_all(s.to_pylist())], names=["token_id", "n"])
+
+    return df.select(text).mapInArrow(run, "token_id bigint, n bigint").groupBy("token_id").agg(F.sum("n").alias("n"))
+
+
 def only_in_one(df: DataFrame, a: str, b: str, *keys: str, sides: tuple[str, str]) -> DataFrame:
     """(keys, ids, side): EXCEPT ALL of the rows (keys, a) and (keys, b), either way.
 

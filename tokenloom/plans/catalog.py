@@ -419,7 +419,7 @@ def _(spark, sf):
 
 @query("token_frequency_top", f"SELECT token_id, n FROM (SELECT CAST(t AS BIGINT) AS token_id, count(*) AS n FROM (SELECT unnest(string_split(ids, ' ')) AS t FROM ({_WORD_SQL}) WHERE ids <> '') GROUP BY 1) ORDER BY n DESC, token_id LIMIT 20")
 def _(spark, sf):
-    t = E.encode(docs(spark, sf), Z.BPE).select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
+    t = stats.token_frequencies(docs(spark, sf), Z.BPE)
     return t.orderBy(F.desc("n"), "token_id").limit(20)
 
 
